@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, tokenization
+from . import packing, secrets, simhash, token_counts, tokenization
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_harmonic_packing": packing.op1_harmonic_packing,
+        "op6_secret_scan": secrets.op6_secret_scan,
+        "op7_token_counts": token_counts.op7_token_counts,
+        "op8_simhash_near_duplicates": simhash.op8_simhash_near_duplicates,
         "op10_bpe_codec": tokenization.op10_bpe_codec,
     }
 
