@@ -40,6 +40,9 @@ NEVER = np.int32(2**31 - 1)
 #: Words kept in a worker's memory; when full it is emptied, which costs time and changes no result.
 CACHE_WORDS = 400_000
 
+#: Words whose paths are followed together; bounds the arrays in use.
+WORDS_AT_ONCE = 25_000
+
 
 def byte_alphabet() -> list[str]:
     """The printable stand-in of each byte in byte-level vocabularies."""
@@ -210,7 +213,7 @@ class BpeAutomaton:
         for w, _ in steps:
             counts[w] += 1
         bound = np.cumsum(counts)
-        ids, fill = np.zeros(int(bound[-1]) if len(bound) else 0, np.uint16 if self.n <= 1 << 16 else np.int32), bound.copy()
+        ids, fill = np.zeros(int(bound[-1]) if len(bound) else 0, np.int32), bound.copy()
         for w, t in steps:
             fill[w] -= 1
             ids[fill[w]] = t
@@ -243,6 +246,7 @@ class WordBpeCodec:
         for t in spec["added_tokens"]:
             self.labels += [""] * (t["id"] + 1 - len(self.labels))
             self.labels[t["id"]] = t["content"]
+        self.decimals = list(map(str, range(len(self.labels))))
         letter, number = _letters("L"), _letters("N")
         self.split = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{number}]|[^\s{letter}{number}]+").findall
         self.known: dict[str, bytes] = {}
@@ -269,10 +273,11 @@ class WordBpeCodec:
                 self.known.clear()
                 fresh = {w for ws in words if ws for w in ws}
             listed = list(fresh)
-            ids, bound = self.automaton.encode_words(listed)
-            raw, width = ids.tobytes(), ids.itemsize
-            end = (bound * width).tolist()
-            self.known.update(zip(listed, (raw[a:b] for a, b in zip([0, *end], end, strict=False)), strict=True))
+            for i in range(0, len(listed), WORDS_AT_ONCE):
+                some = listed[i : i + WORDS_AT_ONCE]
+                ids, bound = self.automaton.encode_words(some)
+                raw, end = ids.astype(np.uint16).tobytes(), (2 * bound).tolist()
+                self.known.update(zip(some, (raw[a:b] for a, b in zip([0, *end], end, strict=False)), strict=True))
         get, out = self.known.__getitem__, []
         for text, ws in zip(texts, words, strict=True):
             if ws is None:
