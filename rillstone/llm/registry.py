@@ -6,18 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, secrets, simhash, token_counts, tokenization
+from . import line_dedup, order_minhash, packing, quality, secrets, simhash, token_counts, tokenization
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_harmonic_packing": packing.op1_harmonic_packing,
+        "op4_line_dedup": line_dedup.op4_line_dedup,
+        "op5_order_minhash": order_minhash.op5_order_minhash,
         "op6_secret_scan": secrets.op6_secret_scan,
         "op7_token_counts": token_counts.op7_token_counts,
         "op8_simhash_near_duplicates": simhash.op8_simhash_near_duplicates,
+        "op9_quality_rules": quality.op9_quality_rules,
         "op10_bpe_codec": tokenization.op10_bpe_codec,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_line_dedup": line_dedup.OP4_SQL}
