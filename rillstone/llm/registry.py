@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, order_minhash, packing, quality, secrets, simhash, token_counts, tokenization
+from . import chat, line_dedup, order_minhash, packing, quality, secrets, simhash, token_counts, tokenization, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_harmonic_packing": packing.op1_harmonic_packing,
+        "op2_chat_transcripts": chat.op2_chat_transcripts,
+        "op3_warc_derivatives": warc.op3_warc_derivatives,
         "op4_line_dedup": line_dedup.op4_line_dedup,
         "op5_order_minhash": order_minhash.op5_order_minhash,
         "op6_secret_scan": secrets.op6_secret_scan,

@@ -195,6 +195,20 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", radi
     return rows.join(labels, "fp").select(key, "fp", "component_id")
 
 
+def survivors(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``df`` that a near-dedup keeps: of each component the one with the least key.
+
+    Rows that share a key are one document, of which one row stays. Rows with a null key can't be
+    named; they stay unless every component has a named document.
+    """
+    found = materialize(near_duplicates(df, key, text), "components")
+    chosen = found.where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("__id")).distinct()
+    kept = df.join(chosen, df[key].eqNullSafe(chosen["__id"]), "left_semi")
+    if found.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").isEmpty():
+        return kept
+    return kept.where(F.col(key).isNotNull()).dropDuplicates([key]).unionByName(kept.where(F.col(key).isNull()))
+
+
 def op8_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract 8: fingerprint and component of every document."""
     found = near_duplicates(documents(spark, sf_dir))
