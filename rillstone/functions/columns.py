@@ -5,17 +5,20 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Callable, Sequence
+from decimal import Decimal
 from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import LongType
 
 from ..types import EPOCH_MS
 from . import bytes as B
 
-I64 = 1 << 64
+#: The size of the unsigned 64-bit range, and where its sign bit is.
+I64, TOP = Decimal(1 << 64), Decimal(1 << 63)
 
 
 def long(x) -> Column:
@@ -24,8 +27,8 @@ def long(x) -> Column:
 
 def wrap_i64(x: Column) -> Column:
     """A decimal reduced to the signed 64-bit range."""
-    r = F.pmod(x.cast("decimal(38,0)"), F.lit(I64).cast("decimal(38,0)"))
-    return F.when(r >= F.lit(1 << 63).cast("decimal(38,0)"), r - F.lit(I64).cast("decimal(38,0)")).otherwise(r).cast("long")
+    r = F.pmod(x.cast("decimal(38,0)"), F.lit(I64))
+    return F.when(r >= F.lit(TOP), r - F.lit(I64)).otherwise(r).cast("long")
 
 
 def wrapping_sum(x: Column) -> Column:
@@ -321,7 +324,7 @@ def hexdump():
     return codec_udf(B.hexdump, "string")
 
 
-@pandas_udf("long")
+@pandas_udf(LongType())
 def flow_digest(src: pd.Series, dst: pd.Series, flow_id: pd.Series, sport: pd.Series, dport: pd.Series, proto: pd.Series) -> pd.Series:
     """The compatible digest of a flow key, as a signed long."""
     return pd.Series([B.signed(B.flow_digest(*map(int, k))) for k in zip(src, dst, flow_id, sport, dport, proto, strict=True)], dtype="int64")

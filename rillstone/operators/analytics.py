@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 BUCKETS = 64
 GAMMA, SKETCH_BUCKETS = 1.02, 128
@@ -42,7 +45,7 @@ def percentiles(buckets: DataFrame, ps: list[float]) -> DataFrame:
     rank = F.ceil(F.least(F.greatest("p", F.lit(0.0)), F.lit(1.0)) * F.col("total"))
     met = ranked.crossJoin(F.broadcast(asked)).where(F.col("reached") >= rank)  # 64 rows by len(ps)
     found = met.groupBy("p").agg(F.min("bucket").alias("b"), F.max("total").alias("t"))
-    return found.select("p", F.when(F.col("t") == 0, F.lit(0).cast("long")).otherwise(F.shiftleft(F.lit(1).cast("long"), F.col("b"))).alias("value"))
+    return found.select("p", F.when(F.col("t") == 0, F.lit(0).cast("long")).otherwise(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("b"))).alias("value"))
 
 
 def top_n(df: DataFrame, key: str, weight: str, n: int) -> DataFrame:
@@ -107,10 +110,6 @@ def entropy(counts: DataFrame) -> DataFrame:
 
 def row_entropy():
     """Entropy of each value of a binary column, by Arrow batches."""
-    import numpy as np
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
-
     @pandas_udf("double")
     def run(data: pd.Series) -> pd.Series:
         def one(x):

@@ -5,10 +5,12 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator, Sequence
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.functions import pandas_udf
 
 from ..functions.bytes import signed
 from ..functions.columns import big_endian, wrap_i64
@@ -111,9 +113,6 @@ def decode(df: DataFrame, fields: Sequence[Field], body: str = "body", batch: bo
         return df.withColumn("record", F.when(whole, F.struct(*[c.alias(n) for n, c in native.items()]))).withColumn("error", F.when(~F.coalesce(whole, F.lit(False)), "read past the end"))
     result = T.StructType([T.StructField("records", T.ArrayType(record)), T.StructField("error", T.StringType())])
 
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
-
     @pandas_udf(result)
     def run(data: pd.Series) -> pd.DataFrame:
         rows = []
@@ -253,7 +252,7 @@ def problems(fields: DataFrame, keys: Sequence[str] = ("schema_id",)) -> DataFra
             F.when((F.col("type") == "fixed") & (F.col("width") == 0), F.lit("zero width")),
         )
     )
-    return joined.drop("m_type", "m_width", "__n").withColumn("problem", F.explode(found))
+    return joined.withColumn("problem", F.explode(found)).drop("m_type", "m_width", "__n")
 
 
 def trailing_bytes(length: Column, min_len: Column) -> Column:
