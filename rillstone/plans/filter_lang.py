@@ -4,7 +4,8 @@
 
 Numbers are unsigned 64-bit; strings have no escapes; ``=`` is ``==`` and ``!`` is ``not``. Logic is
 two-valued: a comparison with a missing field or a null is false, also ``!=``, so ``not`` of it is
-true. Every leaf is therefore closed with ``coalesce(.., false)``; Catalyst folds the rest.
+true. Negations are moved to the leaves, and a negated leaf is closed with ``coalesce(.., false)``
+first. Other leaves stay bare, as a filter takes null for false anyway, so they reach the scan.
 """
 
 from __future__ import annotations
@@ -263,7 +264,7 @@ class _Compiler:
                 test = reduce(operator.or_, (self.compare(found, "==", v) for v in node.values))
         else:
             test = self.compare(found, node.op, node.value)
-        return F.coalesce(test, F.lit(False))
+        return test
 
     def compare(self, found: tuple[Column, str], op: str, value: int | str) -> Column:
         if found[1] == "int" and isinstance(value, int):
@@ -274,16 +275,16 @@ class _Compiler:
         image = value.to_bytes(8, "big") if isinstance(value, int) else value.encode()
         return COMPARE[op](self.image(found), F.lit(image))
 
-    def compile(self, node) -> Column:
+    def compile(self, node, positive: bool = True) -> Column:
         if isinstance(node, Not):
-            return ~self.compile(node.part)
+            return self.compile(node.part, not positive)
         if isinstance(node, (And, Or)):
-            parts = [self.compile(p) for p in node.parts]
-            join = operator.and_ if isinstance(node, And) else operator.or_
+            parts = [self.compile(p, positive) for p in node.parts]
+            join = operator.and_ if isinstance(node, And) == positive else operator.or_
             while len(parts) > 1:  # balanced, so that long chains stay shallow
                 parts = [reduce(join, parts[i : i + 2]) for i in range(0, len(parts), 2)]
             return parts[0]
-        return self.leaf(node)
+        return self.leaf(node) if positive else ~F.coalesce(self.leaf(node), F.lit(False))
 
 
 def _signed(value: int) -> int:
@@ -299,8 +300,8 @@ def flow_columns(df: DataFrame) -> dict[str, Column]:
     return {f: df[c] for f, c in names.items() if c in df.columns}
 
 
-def compile_filter(text: str, df: DataFrame, columns: Mapping[str, Column] | None = None, calls: bool = False, compat: bool = False) -> Column:
-    """A boolean Column without nulls for ``df``.
+def compile_filter(text: str, df: DataFrame, columns: Mapping[str, Column] | None = None, calls: bool = False, compat: bool = False, value: bool = False) -> Column:
+    """A predicate for ``df``; with ``value``, one that is false where it would be null.
 
     ``columns`` maps the language's names to columns; by default every integral, string or binary
     column goes by its own name. Names that are not there are missing fields. A tree deeper than
@@ -318,4 +319,5 @@ def compile_filter(text: str, df: DataFrame, columns: Mapping[str, Column] | Non
             kinds[name] = "int"
         elif isinstance(kind.dataType, (StringType, BinaryType)):
             kinds[name] = "bytes"
-    return _Compiler({n: found[n] for n in kinds}, kinds).compile(tree)
+    predicate = _Compiler({n: found[n] for n in kinds}, kinds).compile(tree)
+    return F.coalesce(predicate, F.lit(False)) if value else predicate
