@@ -1,7 +1,7 @@
 """Every query of the library that has SQL gives the rows of that SQL, and every other one runs."""
 
 import pytest
-from conftest import rows_of
+from compare import rows_of
 
 import rillstone.queries as library
 
