@@ -1,7 +1,7 @@
 """Operator 2: roles of raw transcripts by a hidden Markov model, then canonical turns.
 
 A transcript is a sequence of lines. A line's observation is made of its speaker marker, whether it
-follows a break, its length and whether it asks. Hidden states are a role with "first line of a turn"
+follows a break, its length and whether it asks, taken as independent given the state. Hidden states are a role with "first line of a turn"
 or "later line". Emissions and transitions are smoothed counts over all labelled rows: a few hundred
 numbers. Viterbi finds the most likely states, and a turn is a first line with the later lines after.
 
@@ -38,7 +38,12 @@ MARKER = rf"(?i)^\s*(?:#{{1,4}}\s*|\*\*)?(?:[<\[(]\|?({_NAMES})\|?[>\])]:?|({_NA
 BLOCK = 512
 
 LENGTHS = (40, 160, 480)
-CODES = (len(ROLES) + 1) * 2 * (len(LENGTHS) + 1) * 2
+#: The parts of an observation, in this order: marker, break before, length, question.
+PARTS = (len(ROLES) + 1, 2, len(LENGTHS) + 1, 2)
+CODES = PARTS[0] * PARTS[1] * PARTS[2] * PARTS[3]
+
+#: What smoothing adds to every count.
+SMOOTH = 0.2
 
 
 class Model(NamedTuple):
@@ -83,9 +88,9 @@ def fit(df: DataFrame, key: str, position: str, role: str, text: str) -> Model:
     known = df.select(F.col(key).alias("k"), F.col(position).cast("long").alias("p"), number.alias("r"), F.coalesce(text, F.lit("")).alias("t")).where("r is not null")
     lines = known.select("r", F.posexplode(F.split("t", "\n")).alias("sub", "line"))
     coded = lines.select((F.col("r") * 2 + F.when(F.col("sub") > 0, 1).otherwise(0)).alias("state"), observation(F.col("line"), F.col("sub") == 0).alias("code"))
-    emit = np.ones((STATES, CODES))
+    counts = np.zeros((STATES, CODES))
     for state, code, n in coded.groupBy("state", "code").count().collect():
-        emit[state, code] += n
+        counts[state, code] += n
     turns = known.select("k", "p", "r")
     pairs = turns.join(turns.select("k", (F.col("p") - 1).alias("p"), F.col("r").alias("s")), ["k", "p"]).groupBy("r", "s").count()
     role_step = np.ones((len(ROLES), len(ROLES)))
@@ -97,18 +102,29 @@ def fit(df: DataFrame, key: str, position: str, role: str, text: str) -> Model:
         start[2 * r] += n
     step = np.full((STATES, STATES), 1e-12)
     for a in range(len(ROLES)):
-        first, later = emit[2 * a].sum(), emit[2 * a + 1].sum()
+        first, later = counts[2 * a].sum() + 1, counts[2 * a + 1].sum() + 1
         stay = later / (first + later)
         for state in (2 * a, 2 * a + 1):
             step[state, 2 * a + 1] = stay
             step[state, 0::2] = (1 - stay) * role_step[a]
-    emit /= emit.sum(axis=1, keepdims=True)
+    emit = emissions(counts)
     all_step, all_emit = np.zeros((STATES + 1, STATES + 1)), np.zeros((STATES + 1, CODES))
     all_step[:STATES, :STATES], all_step[START, :STATES], all_emit[:STATES] = step, start / start.sum(), emit
     logs = [np.where(x > 0, np.log(np.where(x > 0, x, 1)), NEVER).tolist() for x in (all_step, all_emit)]
     return Model(*logs)
 
 
+def emissions(counts: np.ndarray) -> np.ndarray:
+    """Probabilities of observations by state: the parts of an observation count as independent."""
+    out = np.ones((STATES, *PARTS))
+    grid = counts.reshape(STATES, *PARTS)
+    for part in range(len(PARTS)):
+        others = tuple(1 + p for p in range(len(PARTS)) if p != part)
+        share = grid.sum(axis=others, keepdims=True) + SMOOTH
+        out *= share / share.sum(axis=1 + part, keepdims=True)
+    return out.reshape(STATES, CODES)
+
+
 def block_matrix(codes: np.ndarray, step: np.ndarray, emit: np.ndarray) -> np.ndarray:
     """Best log probability from the state before the block to the state at its end.
 
