@@ -9,15 +9,23 @@ from __future__ import annotations
 
 import struct
 from collections import OrderedDict
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from ..sources.framing import DATA_HEADER, Cursor, FramingError, parse_fields
-from ..types import MESSAGE_CODES
+from ..config import Config
+from ..functions.bytes import CODEC_DELTA, CODEC_DICT, CODEC_NONE, CODEC_PASS, CodecError, inflate
+from ..sources.framing import DATA_HEADER, Cursor, FramingError, parse_fields, parse_snapshot, parse_stream
+from ..transform import Modules, TransformError
+from ..types import MESSAGE_CODES, MESSAGE_TYPES, SNAPSHOT_MAGIC
+from .decode import decode_structured
+from .reassembly import RingWindow, merge_bytes
 
-OPEN, CLOSE, TEMPLATE, DATA = (MESSAGE_CODES[n] for n in ("SESSION_OPEN", "SESSION_CLOSE", "TEMPLATE_DEF", "DATA_RECORD"))
+MESSAGE_GATED = {code: gated for code, _, _, _, gated, _ in MESSAGE_TYPES}
+
+NESTED = (MESSAGE_CODES["CONTINUATION"], MESSAGE_CODES["NESTED_RECORD"])
+MAX_NESTED = 8
 
 
 @dataclass
@@ -197,45 +205,319 @@ class RecordStore:
         return found[1]
 
 
-@dataclass
-class Session:
-    """The parts of a session that flows depend on."""
+class SchemaRegistry:
+    """Field lists by id; a definition starts at version 1, an update adds one and needs a definition."""
+
+    def __init__(self) -> None:
+        self.held: dict[int, tuple[int, tuple]] = {}
+
+    def define(self, number: int, fields: tuple) -> None:
+        self.held[number] = (1, fields)
+
+    def update(self, number: int, fields: tuple) -> None:
+        if number not in self.held:
+            raise FramingError("update of an unknown schema")
+        self.held[number] = ((self.held[number][0] + 1) % (1 << 16), fields)
+
+    def remove(self, number: int) -> bool:
+        return self.held.pop(number, None) is not None
 
-    table: FlowTable = field(default_factory=FlowTable)
-    templates: TemplateCache = field(default_factory=TemplateCache)
-    clock: int = 1
-    opened: bool = False
-    errors: int = 0
-    records: int = 0
+
+class Reassembly:
+    """The fragments of one flow, within its limits."""
+
+    def __init__(self, config: Config) -> None:
+        self.limit, self.most = 4 * config.window_size, config.max_fragments
+        self.base, self.parts = 0, []
+
+    def add(self, offset: int, data: bytes) -> None:
+        if len(self.parts) >= self.most or sum(len(p) for _, p in self.parts) + len(data) > self.limit:
+            raise FramingError("too many fragments or bytes")
+        self.parts.append((offset, data))
+
+    def reorder(self, start: int, end: int) -> None:
+        if end < start or end - start > self.limit:
+            raise FramingError("bad reorder span")
+        self.base = start
+
+    def whole(self) -> bytes:
+        return merge_bytes(self.base, self.parts, self.limit)
+
+
+class Session:
+    """Every message kind of a session, in order. Errors are counted and change nothing else.
+
+    ``outputs`` collects what messages produce: (clock, kind, id, bytes or None, number or None).
+    """
+
+    def __init__(self, config: Config = Config(), table: FlowTable | None = None, templates: TemplateCache | None = None) -> None:  # noqa: B008  (frozen)
+        self.config = config
+        self.table = table or FlowTable(config.flow_capacity, config.flow_idle_ticks)
+        self.templates = templates or TemplateCache(config.template_capacity)
+        self.schemas, self.connections, self.scopes, self.modules = SchemaRegistry(), Connections(), Scopes(), Modules()
+        self.clock, self.opened, self.errors, self.records = 1, False, 0, 0
+        self.flows: dict[int, Reassembly] = {}
+        self.windows: dict[int, list] = {}  # ring and cursor
+        self.channels: dict[int, bytearray] = {}
+        self.sections: list[tuple[int, int, bytes]] = []
+        self.pending: int | None = None
+        self.codec, self.codec_limit, self.stride, self.entries = CODEC_NONE, 16 * config.window_size, 1, ()
+        self.live_channels = 0
+        self.outputs: list[tuple[int, str, int, bytes | None, int | None]] = []
+        self.handlers = {MESSAGE_CODES[name]: getattr(self, f"on_{name.lower()}") for name in MESSAGE_CODES}
 
     def message(self, code: int, payload: bytes) -> None:
         self.clock += 1
         try:
-            self._dispatch(code, Cursor(payload))
-        except (FramingError, struct.error):
+            self._dispatch(code, payload)
+        except (FramingError, CodecError, TransformError, struct.error, ValueError):
             self.errors += 1
 
-    def _dispatch(self, code: int, c: Cursor) -> None:
-        if code == OPEN:
-            c.take(4)
-            self.opened = True
-        elif code == CLOSE:
-            self.table.flush()
-            self.opened = False
-        elif not self.opened:
+    def _dispatch(self, code: int, payload: bytes) -> None:
+        if not self.opened and MESSAGE_GATED[code]:
             raise FramingError("message before the session was opened")
-        elif code == TEMPLATE:
-            number, schema = c.number(2), c.number(2)
-            for gone in self.templates.define(number, (schema, tuple(parse_fields(c)))):
-                self.table.purge(gone)
-        elif code == DATA:
-            template, flow, src, dst, sport, dport, proto, octets, packets = DATA_HEADER.unpack(c.take(DATA_HEADER.size))
-            found = self.templates.get(template)
-            if found is None:
-                raise FramingError("no such template")
-            self.records += 1
+        self.handlers[code](Cursor(payload))
+
+    def emit(self, kind: str, number: int, data: bytes | None = None, value: int | None = None) -> None:
+        self.outputs.append((self.clock, kind, number, data, value))
+
+    # Session, schemas, data.
+
+    def on_session_open(self, c: Cursor) -> None:
+        c.take(4)
+        self.opened = True
+
+    def on_session_close(self, c: Cursor) -> None:
+        self.table.flush()
+        self.opened = False
+
+    def on_schema_def(self, c: Cursor) -> None:
+        self.schemas.define(c.number(2), tuple(parse_fields(c)))
+
+    def on_schema_update(self, c: Cursor) -> None:
+        self.schemas.update(c.number(2), tuple(parse_fields(c)))
+
+    def on_template_def(self, c: Cursor) -> None:
+        number, schema = c.number(2), c.number(2)
+        for gone in self.templates.define(number, (schema, tuple(parse_fields(c)))):
+            self.table.purge(gone)
+
+    def on_data_record(self, c: Cursor) -> None:
+        template, flow, src, dst, sport, dport, proto, octets, packets = DATA_HEADER.unpack(c.take(DATA_HEADER.size))
+        found = self.templates.get(template)
+        if found is None:
+            raise FramingError("no such template")
+        self.records += 1
+        if self.config.aggregate:
             self.table.update((src, dst, flow, sport, dport, proto), octets, packets, self.clock, template, found[0])
-            self.table.sweep(self.clock)
+        self.table.sweep(self.clock)
+
+    def on_nested_record(self, c: Cursor, depth: int = 0) -> None:
+        if depth > MAX_NESTED:
+            raise FramingError("nested too deep")
+        if depth == 0 and c.left() and c.data[0] == 0x0F:
+            self.emit("structured", len(decode_structured(c.data)["elements"]))
+            return
+        inner = c.number(1)
+        if inner == MESSAGE_CODES["DATA_RECORD"]:
+            self.on_data_record(c)
+        elif inner in NESTED:
+            self.on_nested_record(Cursor(c.take(c.left())), depth + 1)
+
+    on_continuation = on_nested_record
+
+    # Fragments, windows.
+
+    def on_flow_open(self, c: Cursor) -> None:
+        flow = c.number(4)
+        self.flows.setdefault(flow, Reassembly(self.config))
+        self._window(flow, c)
+
+    def _window(self, number: int, c: Cursor) -> None:
+        size = c.number(4) if c.left() >= 4 else self.config.window_size
+        self.windows.setdefault(number, [RingWindow(min(max(size, 64), 4 * self.config.window_size)), 0])
+
+    def _known(self, held: dict, number: int):
+        if number not in held:
+            raise FramingError("never opened")
+        return held[number]
+
+    def on_fragment(self, c: Cursor) -> None:
+        flow, offset = c.number(4), c.number(4, signed=True)
+        data = c.take(c.number(2))
+        self._known(self.flows, flow).add(offset, data)
+
+    def on_fragment_reorder(self, c: Cursor) -> None:
+        flow = c.number(4)
+        self._known(self.flows, flow).reorder(c.number(4, signed=True), c.number(4, signed=True))
+
+    def on_flow_timeout(self, c: Cursor) -> None:
+        flow = c.number(4)
+        found = self.flows.pop(flow, None)
+        if found is not None:
+            self.emit("reassembled", flow, found.whole())
+        self.windows.pop(flow, None)
+
+    def on_stream_open(self, c: Cursor) -> None:
+        self._window(c.number(4), c)
+
+    def on_packet(self, c: Cursor) -> None:
+        window = self._known(self.windows, c.number(4))[0]
+        window.place(c.number(8), c.take(c.left()))
+
+    def on_read_window(self, c: Cursor) -> None:
+        number = c.number(4)
+        context = self._known(self.windows, number)
+        data = context[0].read(c.number(8), c.number(4))
+        context[1] += len(data)
+        self.emit("read", number, data)
+
+    def on_seek_relative(self, c: Cursor) -> None:
+        number = c.number(4)
+        context = self._known(self.windows, number)
+        to = context[1] + c.number(4, signed=True)
+        if not 0 <= to <= context[0].size:
+            raise FramingError("seek out of range")
+        context[1] = to
+        self.emit("cursor", number, value=to)
+
+    # Codecs, sections, snapshots.
+
+    def on_compressed_block(self, c: Cursor) -> None:
+        codec, declared = c.number(1), c.number(8)
+        limit = min(max(c.number(4), 1), 16 * self.config.window_size)
+        data = inflate(codec, c.take(c.left()), limit, self.entries)
+        self.emit("inflated", codec, data[:declared] if declared else data)
+
+    def on_compress_config(self, c: Cursor) -> None:
+        codec = c.number(1)
+        if codec > CODEC_DICT and codec != CODEC_PASS:
+            raise FramingError("no such codec")
+        limit = c.number(4) if c.left() >= 4 else 0
+        stride = c.number(4) if codec == CODEC_DELTA and c.left() >= 4 else 0
+        if stride > 64:
+            raise FramingError("stride too wide")
+        self.codec = codec
+        self.codec_limit = min(limit, 1 << 24) or self.codec_limit
+        self.stride = stride or self.stride
+        if codec == CODEC_DICT:
+            entries = []
+            while c.left() >= 2:
+                size = c.number(2)
+                if size > c.left():
+                    break
+                entries.append(c.take(size))
+            self.entries = tuple(entries)
+
+    def on_compress_data(self, c: Cursor) -> None:
+        self.emit("inflated", self.codec, inflate(self.codec, c.take(c.left()), self.codec_limit, self.entries, self.stride))
+
+    def on_section_header(self, c: Cursor) -> None:
+        count, stride = c.number(4), c.number(4)
+        if not count or not stride or count > 1 << 20 or stride > 1 << 16:
+            raise FramingError("section out of bounds")
+        body = c.take(c.left())
+        whole = min(len(body) // stride, count) * stride
+        self.sections = [*self.sections, (count, stride, body[:whole])][-8:]
+        self.emit("section", count, value=whole // stride)
+
+    def on_snapshot_begin(self, c: Cursor) -> None:
+        at = c.number(4)
+        if at >= len(self.sections):
+            raise FramingError("no such section")
+        self.pending = at
+
+    def on_snapshot_commit(self, c: Cursor) -> None:
+        size = c.number(4)
+        body = c.take(min(size, c.left()))
+        if self.pending is not None and self.pending < len(self.sections):
+            count, stride, old = self.sections[self.pending]
+            self.sections[self.pending] = (count, stride, (body + old[len(body) :])[: count * stride])
+        self.pending = None
+        if body[:4] == SNAPSHOT_MAGIC:
+            self.emit("snapshot", len(parse_snapshot(body)))
+
+    # Connections, scopes, programs, channels.
+
+    def on_conn_open(self, c: Cursor) -> None:
+        self.connections.open(c.number(4))
+
+    def on_conn_reset(self, c: Cursor) -> None:
+        self.connections.reset(c.number(4))
+
+    def on_request(self, c: Cursor) -> None:
+        self.connections.enqueue(c.number(4), c.number(2))
+
+    def on_process_queue(self, c: Cursor) -> None:
+        self.connections.process()
+        self.emit("served", self.connections.served, value=self.connections.dropped)
+
+    def on_scope_begin(self, c: Cursor) -> None:
+        self.scopes.begin()
+
+    def on_scope_end(self, c: Cursor) -> None:
+        self.scopes.end()
+
+    def on_plugin_register(self, c: Cursor) -> None:
+        self.scopes.register(c.number(4), c.number(2))
+
+    def on_plugin_invoke(self, c: Cursor) -> None:
+        plugin = c.number(4)
+        self.emit("plugin", plugin, value=self.scopes.invoke(plugin))
+
+    def on_module_load(self, c: Cursor) -> None:
+        self.modules.load(c.number(4), c.take(c.left()))
+
+    def on_module_reload(self, c: Cursor) -> None:
+        self.modules.reload(c.number(4), c.take(c.left()))
+
+    def on_call_symbol(self, c: Cursor) -> None:
+        symbol = c.number(4)
+        self.emit("result", symbol, value=self.modules.call(symbol, c.number(8) if c.left() >= 8 else 0))
+
+    def on_channel_open(self, c: Cursor) -> None:
+        channel, size = c.number(4), min(max(c.number(4), 1), 1 << 20)
+        self.channels.setdefault(channel, bytearray(size))
+        self.live_channels += 1
+
+    def on_channel_alloc(self, c: Cursor) -> None:
+        channel, size = c.number(4), min(max(c.number(4), 1), 1 << 20)
+        self.live_channels += channel not in self.channels
+        self.channels[channel] = (self.channels.get(channel, bytearray()) + bytes(size))[:size]
+
+    def on_channel_teardown(self, c: Cursor) -> None:
+        self.live_channels -= self.channels.pop(c.number(4), None) is not None
+
+
+class Broker:
+    """Sessions by transport. At the soft cap, sessions idle for long enough go when another message comes."""
+
+    def __init__(self, config: Config = Config(), soft_cap: int = 4096) -> None:  # noqa: B008  (frozen)
+        self.config, self.soft_cap, self.clock = config, soft_cap, 0
+        self.sessions: OrderedDict[int, Session] = OrderedDict()  # least recently used first
+        self.seen: dict[int, int] = {}
+        self.reaped: list[int] = []
+
+    def route(self, transport: int, stream: bytes) -> None:
+        """A stream that can't be read raises, and none of it is applied."""
+        self.clock += 1
+        messages = parse_stream(stream)
+        session = self.sessions.setdefault(transport, Session(self.config))
+        self.sessions.move_to_end(transport)
+        self.seen[transport] = self.clock
+        for m in messages:
+            session.message(m.code, m.payload)
+        while len(self.sessions) >= self.soft_cap:
+            oldest = next(iter(self.sessions))
+            if oldest == transport or self.clock - self.seen[oldest] < self.config.flow_idle_ticks:
+                break
+            self.sessions.pop(oldest)
+            del self.seen[oldest]
+            self.reaped.append(oldest)
+
+    def totals(self) -> dict[str, int]:
+        held = self.sessions.values()
+        return {"sessions": len(held), "records": sum(s.records for s in held), "errors": sum(s.errors for s in held), "messages": sum(s.clock - 1 for s in held)}
 
 
 FLOW_ROWS = "transport_id long, src long, dst long, flow_id long, sport int, dport int, proto int, octets long, packets long, records long, first_ms long, last_ms long, template_id int, template_gen long, layout_changed boolean, reason string"
@@ -252,7 +534,7 @@ def replay_sessions(messages: DataFrame, capacity: int = 65_536, idle: int = 30_
 
     def one(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["capture_ts_ms", "stream_id", "seq"], kind="stable")
-        session = Session(FlowTable(capacity, idle), TemplateCache(templates))
+        session = Session(table=FlowTable(capacity, idle), templates=TemplateCache(templates))
         for code, payload in zip(group["type_code"], group["payload"], strict=True):
             session.message(int(code), bytes(payload))
         live = [(k, f, "live") for k, f in session.table.live.items()]
@@ -260,3 +542,24 @@ def replay_sessions(messages: DataFrame, capacity: int = 65_536, idle: int = 30_
 
     good = messages.where("error is null").select("transport_id", "capture_ts_ms", "stream_id", "seq", "type_code", "payload")
     return good.groupBy("transport_id").applyInPandas(one, FLOW_ROWS)
+
+
+OUTPUT_ROWS = "transport_id long, clock long, kind string, id long, data binary, value long"
+
+
+def session_outputs(messages: DataFrame, config: Config = Config()) -> DataFrame:  # noqa: B008  (frozen)
+    """What the messages of every session produce, kind by kind, and at last its counters."""
+
+    def one(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["capture_ts_ms", "stream_id", "seq"], kind="stable")
+        session = Session(config)
+        for code, payload in zip(group["type_code"], group["payload"], strict=True):
+            session.message(int(code), bytes(payload))
+        counters = {"messages": session.clock - 1, "errors": session.errors, "records": session.records, "flows": len(session.table.live), "channels": session.live_channels}
+        rows = session.outputs + [(session.clock, name, 0, None, n) for name, n in counters.items()]
+        names = [part.split()[0] for part in OUTPUT_ROWS.split(", ")]
+        out = pd.DataFrame([(int(group["transport_id"].iloc[0]), *r) for r in rows], columns=names)
+        return out.astype({"value": "Int64"})
+
+    good = messages.where("error is null").select("transport_id", "capture_ts_ms", "stream_id", "seq", "type_code", "payload")
+    return good.groupBy("transport_id").applyInPandas(one, OUTPUT_ROWS)

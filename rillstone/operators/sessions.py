@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.messages import admit, data_records, template_definitions
+from ..sources.messages import admit, data_records, template_definitions, unnest
 from ..types import FLOW_KEY
 from .flows import accumulate, idle_sessions
 from .joins import as_of
@@ -30,7 +30,7 @@ def resolved_records(messages: DataFrame) -> DataFrame:
     A null generation means that the template was not known: an unresolved record.
     """
     admitted = admit(clocked(messages)).where("opened")
-    definitions, records = template_definitions(admitted), data_records(admitted)
+    definitions, records = template_definitions(admitted), data_records(unnest(admitted))
     return as_of(records, definitions, ["transport_id", "template_id"], "clock", ["schema_id", "field_count"])
 
 

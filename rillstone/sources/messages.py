@@ -111,6 +111,18 @@ def routed(admitted: DataFrame) -> DataFrame:
     return admitted.groupBy("category").agg(F.count_if(ok).alias("messages"), F.coalesce(F.sum(F.when(ok, F.length("payload"))), F.lit(0)).cast("long").alias("bytes"), F.count_if(~ok).alias("rejected"))
 
 
+def unnest(messages: DataFrame) -> DataFrame:
+    """Data records inside of nested messages (up to eight levels) as data records of their own.
+
+    A nested payload is an inner type and its body; one that starts with 0x0F is a structured list
+    instead and stays as it is. Other inner types have no effect and stay as well.
+    """
+    levels = F.regexp_extract(F.hex("payload"), "^(?!0F)((?:22|0F){0,8})06", 0)
+    inside = (_of("NESTED_RECORD") | _of("CONTINUATION")) & (F.length(levels) > 0)
+    body = F.substring("payload", F.call_function("div", F.length(levels), F.lit(2)).cast("int") + 1, F.length("payload"))
+    return messages.withColumns({"payload": F.when(inside, body).otherwise(F.col("payload")), "type_name": F.when(inside, "DATA_RECORD").otherwise(F.col("type_name"))})
+
+
 def data_records(messages: DataFrame) -> DataFrame:
     """The 35-byte header of data records as columns, and the body behind it; short ones are left out.
 

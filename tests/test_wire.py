@@ -7,6 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from rillstone import types as K
+from rillstone.functions import bytes as B
 from rillstone.operators import decode as D
 from rillstone.operators import reassembly, replay, sessions
 from rillstone.sources import datasources, framing, messages
@@ -211,3 +212,83 @@ def test_info_model_and_types(spark):
     assert K.message_types(spark).count() == 36 and K.info_model(spark).count() == len(K.ELEMENTS) == 58
     assert struct.calcsize(framing.SNAPSHOT_ROW.format) == 63 and framing.DATA_HEADER.size == 35
     assert K.message_types(spark).where(F.col("is_control")).count() == 12
+
+
+def test_every_message_kind(spark):
+    """One session that uses all 36 kinds."""
+    m = lambda name, *parts: (K.MESSAGE_CODES[name], b"".join(p if isinstance(p, bytes) else struct.pack(">I", p) for p in parts))
+    record = framing.data_record(256, 1, 9, 8, 7, 6, 17, 100, 1)[1]
+    u16, u64 = (lambda x: struct.pack(">H", x)), (lambda x: struct.pack(">Q", x))
+    packed = B.rle_encode(b"aaaaaaaabbbb")
+    snap = framing.snapshot([ROW])
+    out = [
+        m("REQUEST", 1, u16(5)),  # before the session is open: an error
+        framing.session_open(1),
+        framing.schema_def(1, FIELDS),
+        framing.schema_def(1, FIELDS, update=True),
+        framing.schema_def(9, FIELDS, update=True),  # an error
+        framing.template_def(256, 1, FIELDS),
+        (K.MESSAGE_CODES["DATA_RECORD"], record),
+        m("NESTED_RECORD", b"\x22\x0f\x06" + record),
+        m("NESTED_RECORD", b"\x22" * 9 + b"\x06" + record),  # too deep: an error
+        m("CONTINUATION", b"\x0f\1\2\0\x02aabb"),
+        m("FLOW_OPEN", 5, 4096),
+        framing.fragment(5, 6, b"world"),
+        framing.fragment(5, 0, b"hello "),
+        m("FRAGMENT_REORDER", 5, 0, 100),
+        m("FLOW_TIMEOUT", 5),
+        m("STREAM_OPEN", 6, 64),
+        m("PACKET", 6, u64(60), b"abcdef"),
+        m("READ_WINDOW", 6, u64(60), 6),
+        m("SEEK_RELATIVE", 6, struct.pack(">i", -2)),
+        m("SEEK_RELATIVE", 6, struct.pack(">i", -20)),  # an error
+        m("COMPRESSED_BLOCK", b"\1", u64(0), 100, packed),
+        m("COMPRESS_CONFIG", b"\5", 1000, u16(2), b"xy"),
+        m("COMPRESS_DATA", b"\x80\0\0z"),
+        m("SECTION_HEADER", 3, 2, b"aabb"),
+        m("SNAPSHOT_BEGIN", 0),
+        m("SNAPSHOT_COMMIT", len(snap), snap),
+        m("CONN_OPEN", 1),
+        m("REQUEST", 1, u16(5)),
+        m("CONN_RESET", 1),
+        m("REQUEST", 1, u16(6)),
+        m("PROCESS_QUEUE"),
+        m("SCOPE_BEGIN"),
+        m("PLUGIN_REGISTER", 3, u16(30)),
+        m("PLUGIN_INVOKE", 3),
+        m("SCOPE_END"),
+        m("PLUGIN_INVOKE", 3),  # an error
+        m("MODULE_LOAD", 1, b"\x08\0\x01\5\3\x0b"),
+        m("CALL_SYMBOL", 1 << 16, u64(37)),
+        m("MODULE_RELOAD", 1, b"\x08\0\x01\6\3\x0b"),
+        m("CALL_SYMBOL", 1 << 16, u64(37)),
+        m("CHANNEL_OPEN", 1, 10),
+        m("CHANNEL_ALLOC", 2, 10),
+        m("CHANNEL_TEARDOWN", 1),
+        framing.session_close(1),
+    ]
+    assert {code for code, *_ in out} == set(K.MESSAGE_NAMES)
+    data = framing.stream(out)
+    found = messages.parse_streams(spark.createDataFrame([("a", 1, 0, bytearray(data))], "stream_id string, transport_id long, capture_ts_ms long, data binary"))
+    rows = [(r.kind, r.id, r.data and bytes(r.data), r.value) for r in replay.session_outputs(found).orderBy("clock").collect()]
+    expected = [
+        ("structured", 2, None, None),
+        ("reassembled", 5, b"hello world", None),
+        ("read", 6, b"abcdef", None),
+        ("cursor", 6, None, 4),
+        ("inflated", 1, b"aaaaaaaabbbb", None),
+        ("inflated", 5, b"xyz", None),
+        ("section", 3, None, 2),
+        ("snapshot", 1, None, None),
+        ("served", 1, None, 1),
+        ("plugin", 3, None, 30),
+        ("result", 1 << 16, None, 42),
+        ("result", 1 << 16, None, 43),
+    ]
+    assert rows[: len(expected)] == expected
+    assert dict((k, v) for k, _, _, v in rows[len(expected) :]) == {"messages": len(out), "errors": 5, "records": 2, "flows": 0, "channels": 1}
+    assert [(r.octets, r.records) for r in sessions.session_flows(found).collect()] == [(200, 2)]
+    broker = replay.Broker(soft_cap=2, config=replay.Config(flow_idle_ticks=2))
+    for t in (1, 2, 2, 3):
+        broker.route(t, data)
+    assert broker.reaped == [1] and broker.totals()["sessions"] == 2 and broker.totals()["errors"] == 15
