@@ -55,8 +55,10 @@ def remove_boilerplate(df: DataFrame, min_sites: int = MIN_SITES, key: str = "do
     lines = df.select(F.col(key).alias("doc_id"), F.xxhash64(F.coalesce(site, F.lit(""))).alias("site"), F.explode(F.array_distinct(F.transform(F.split(text_or_empty(text), "\n"), lambda x: F.trim(x)))).alias("line"))
     lines = lines.where("line <> ''").select(*line_key(F.col("line")), "site", "doc_id")
     spread = lines.groupBy(*LINE).agg(F.min("site").alias("lo"), F.max("site").alias("hi")).where("lo <> hi" if min_sites > 1 else "true")
-    occurrences = materialize(lines.join(spread.select(*LINE), LINE), "lines")
-    found = boilerplate(occurrences, min_sites)
+    # Written out, both sides of the joins are plain shuffles, whose hot lines can be split.
+    spread = materialize(spread.select(*LINE), "spread")
+    occurrences = materialize(lines.join(spread, LINE), "lines")
+    found = materialize(boilerplate(occurrences, min_sites), "boilerplate")
     hits = occurrences.join(found, LINE).where(~F.col("doc_id").eqNullSafe(F.col("home")))
     gone = hits.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set(F.struct("h", "g")).alias("__gone"))
     joined = df.join(gone, df[key].eqNullSafe(gone["__id"]), "left").drop("__id")
