@@ -173,6 +173,13 @@ def u_transform(spark: SparkSession, d: str) -> DataFrame:
     return t.select("src", "dst", "flow_id", "sport", "dport", "proto", "score")
 
 
+@query("SELECT * FROM (VALUES (1, 0, 8, 1, CAST(7 AS BIGINT)), (2, 2, 1, 2, 10), (3, 4, 5, 1, 70), (4, 5, 11, 1, 70)) t(step, pc, opcode, depth, top)")
+def u_trace(spark: SparkSession, d: str) -> DataFrame:
+    transform.register_trace(spark)
+    code = transform.assemble("load 0\npush 10\nmul\nret").hex()
+    return spark.sql(f"SELECT * FROM transform_trace(X'{code}', 7)")
+
+
 @query(f"SELECT src, dst, flow_id, sport, dport, proto, CASE WHEN packets = 25 THEN 1000 ELSE octets END AS score FROM ({FLOWS})")
 def u_transform_jumps(spark: SparkSession, d: str) -> DataFrame:
     t = transform.transform(flow_table(spark, d), transform.assemble(CAPPED), {0: "octets", 1: "packets"}, "score")

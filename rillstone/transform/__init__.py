@@ -280,3 +280,18 @@ class Modules:
         if offset + length > len(self.code[module]):
             raise TransformError("symbol past its module")
         return run(self.code[module][offset : offset + length], {0: value})
+
+
+class TraceProgram:
+    """A table function of a program and its first register: one row for each step that it takes."""
+
+    def eval(self, code: bytes, value: int):
+        try:
+            yield from (tuple(s) for s in execute(bytes(code), {0: value}))
+        except TransformError:
+            return
+
+
+def register_trace(spark) -> None:
+    """``SELECT * FROM transform_trace(X'...', 7)``."""
+    spark.udtf.register("transform_trace", F.udtf(TraceProgram, returnType="step int, pc int, opcode int, depth int, top bigint"))
