@@ -24,6 +24,11 @@ def histogram(df: DataFrame, value: str) -> DataFrame:
     return df.groupBy(log2_bucket(F.col(value)).alias("bucket")).agg(F.count("*").alias("n"))
 
 
+def merge_histograms(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Two histograms as one; bucket counts of sketches merge in the same way."""
+    return a.unionByName(b).groupBy("bucket").agg(F.sum("n").alias("n"))
+
+
 def histogram_stats(df: DataFrame, value: str) -> DataFrame:
     mean = F.coalesce(F.try_divide(F.sum(F.col(value).cast("decimal(38,0)")), F.count(value)).cast("double"), F.lit(0.0))
     return df.agg(F.count(value).alias("total"), F.coalesce(F.sum(F.col(value).cast("decimal(38,0)")), F.lit(0)).cast("decimal(38,0)").alias("sum"), F.coalesce(F.max(value), F.lit(0).cast("long")).alias("max"), mean.alias("mean"))

@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions.bytes import CODEC_DELTA, CODEC_DICT, CODEC_NONE, CODEC_PASS, CodecError, inflate
@@ -563,3 +564,23 @@ def session_outputs(messages: DataFrame, config: Config = Config()) -> DataFrame
 
     good = messages.where("error is null").select("transport_id", "capture_ts_ms", "stream_id", "seq", "type_code", "payload")
     return good.groupBy("transport_id").applyInPandas(one, OUTPUT_ROWS)
+
+
+def store_outcomes(events: DataFrame, owner: str, capacity: int, ttl: int, key: str = "key", kind: str = "kind", now: str = "now") -> DataFrame:
+    """``owner, hits, misses, evictions`` of a record store for each owner, events in order of ``now``.
+
+    ``kind`` is put or get; the events of one owner are one group.
+    """
+    kept = events.select(F.col(owner).alias("owner"), F.col(key).alias("key"), F.col(kind).alias("kind"), F.col(now).cast("long").alias("now"))
+    owner_type = kept.schema["owner"].dataType.simpleString()
+
+    def one(group: pd.DataFrame) -> pd.DataFrame:
+        store = RecordStore(capacity, ttl)
+        for r in group.sort_values("now", kind="stable").itertuples(index=False):
+            if r.kind == "put":
+                store.put(r.key, None, r.now)
+            else:
+                store.get(r.key, r.now)
+        return pd.DataFrame({"owner": [group["owner"].iloc[0]], "hits": [store.hits], "misses": [store.misses], "evictions": [store.evictions]})
+
+    return kept.groupBy("owner").applyInPandas(one, f"owner {owner_type}, hits long, misses long, evictions long")

@@ -210,3 +210,20 @@ def r_sections(spark: SparkSession, d: str) -> DataFrame:
 def r_seek(spark: SparkSession, d: str) -> DataFrame:
     e = flow_events(spark, d).withColumn("delta", F.col("octets") % 101 - 50)
     return reassembly.seek(e, ["src"], "delta", 4096, "ord")
+
+
+@query("SELECT * FROM (VALUES (1, 1, 2, 8, 'u32', 4, 'sourceIPv4Address'), (1, 1, 2, 900, 'fixed', 3, 'f900'), (1, 2, 1, 82, 'utf8', 0, 'interfaceName'), (2, 1, 1, 82, 'utf8', 0, 'interfaceName')) t(schema_id, version, field_count, id, type, width, name)")
+def d_schema_registry(spark: SparkSession, d: str) -> DataFrame:
+    """Definitions and updates from bytes, with versions and field lists."""
+    one, two = [(8, "u32", 4), (900, "fixed", 3)], [(82, "utf8", 0)]
+    sent = [framing.session_open(1), framing.schema_def(3, one, update=True), framing.schema_def(1, one), framing.schema_def(1, two, update=True), framing.schema_def(2, two)]
+    raw = spark.createDataFrame([("a", 1, 0, bytearray(framing.stream(sent)))], "stream_id string, transport_id long, capture_ts_ms long, data binary")
+    found = messages.schema_versions(messages.schema_definitions(sessions.clocked(messages.parse_streams(raw))))
+    fields = found.select(F.col("schema_id").cast("int").alias("schema_id"), "version", F.col("field_count").cast("int").alias("field_count"), F.explode(messages.field_list()).alias("f"))
+    return fields.select("schema_id", "version", "field_count", "f.id", "f.type", "f.width", "f.name")
+
+
+@query(None)
+def r_record_store(spark: SparkSession, d: str) -> DataFrame:
+    e = flow_events(spark, d).select("dst", F.col("src").alias("key"), F.when(F.col("ord") % 3 == 0, "put").otherwise("get").alias("kind"), "ord")
+    return replay.store_outcomes(e, "dst", 32, 10**12, now="ord")

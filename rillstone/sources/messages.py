@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import big_endian, hex_preview
-from ..types import MESSAGE_NAMES, MESSAGES, message_types
+from ..types import ELEMENT_NAMES, FIELD_TYPES, MESSAGE_NAMES, MESSAGES, message_types
 from . import framing
 
 ARROW = pa.schema(
@@ -134,6 +134,38 @@ def data_records(messages: DataFrame) -> DataFrame:
     return found.select(*kept, *[number(at, w).alias(c) for c, at, w in layout], F.substring("payload", 36, F.length("payload")).alias("body"))
 
 
+def schema_definitions(messages: DataFrame) -> DataFrame:
+    """``schema_id, field_count``, the packed field list, and ``is_update`` of each definition and update."""
+    found = messages.where((_of("SCHEMA_DEF") | _of("SCHEMA_UPDATE")) & (F.length("payload") >= 4) & (F.length("payload") >= 4 + 5 * number(2, 2)) & number(2, 2).between(1, 4096))
+    kept = [c for c in ("transport_id", "seq", "clock") if c in messages.columns]
+    return found.select(*kept, number(0, 2).alias("schema_id"), number(2, 2).alias("field_count"), F.substring("payload", 5, F.length("payload")).alias("packed"), _of("SCHEMA_UPDATE").alias("is_update"))
+
+
+def schema_versions(definitions: DataFrame) -> DataFrame:
+    """Definitions with ``version``: 1 for a definition, one more for each update after it. Updates of
+    schemas that no definition precedes are left out."""
+    from pyspark.sql import Window
+
+    seen = Window.partitionBy("transport_id", "schema_id").orderBy("clock").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    life = definitions.withColumn("__life", F.count_if(~F.col("is_update")).over(seen)).where("__life > 0")
+    return life.withColumn("version", F.row_number().over(Window.partitionBy("transport_id", "schema_id", "__life").orderBy("clock"))).drop("__life")
+
+
+def field_list(packed: str = "packed", count: str = "field_count") -> Column:
+    """A packed field list as an array of ``id, type, width, name``."""
+    kinds = F.create_map(*[F.lit(x) for code, (name, _) in FIELD_TYPES.items() for x in (code, name)])
+    names = F.create_map(*[F.lit(x) for i, name in ELEMENT_NAMES.items() for x in (i, name)])
+
+    def field(i: Column) -> Column:
+        at = (i * 5).cast("int")
+        number_at = lambda offset, width: big_endian(F.col(packed), at + offset, width)
+        spec = number_at(0, 2).cast("int")
+        name = F.coalesce(F.try_element_at(names, spec), F.concat(F.lit("f"), spec.cast("string")))
+        return F.struct(spec.alias("id"), F.try_element_at(kinds, number_at(2, 1).cast("int")).alias("type"), number_at(3, 2).cast("int").alias("width"), name.alias("name"))
+
+    return F.transform(F.sequence(F.lit(0).cast("long"), F.col(count) - 1), field)
+
+
 def template_definitions(messages: DataFrame) -> DataFrame:
     """``template_id, schema_id, field_count`` and the packed field list of each definition."""
     found = messages.where(_of("TEMPLATE_DEF") & (F.length("payload") >= 6) & (F.length("payload") >= 6 + 5 * number(4, 2)) & number(4, 2).between(1, 4096))
