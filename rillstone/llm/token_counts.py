@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, documents, shared_dir, text_or_empty
+from .common import chunks, documents, materialize, shared_dir, text_or_empty
 from .tokenization import vocabulary
 
 CACHE_SCHEMA = "digest binary, n_tokens long"
@@ -83,7 +83,9 @@ def count_tokens(df: DataFrame, path: str, cache: str, key: str = "doc_id", text
 
     misses.mapInArrow(run, CACHE_SCHEMA).write.mode("append").parquet(f"{cache}/tokenizer={tokenizer}")
     digests = df.select(key, F.octet_length(content).cast("long").alias("n_bytes"), F.unhex(F.sha2(content, 256)).alias("digest"))
-    return digests.join(read_cache(spark, cache, tokenizer), "digest").select(key, "n_bytes", "n_tokens")
+    # Written out, the counts are a plain side of the join, whose hot digests can then be split.
+    counts = materialize(read_cache(spark, cache, tokenizer), "counts")
+    return digests.join(counts, "digest").select(key, "n_bytes", "n_tokens")
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
