@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -11,6 +13,9 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Folders of applications that name none; only for one machine, as in tests.
+OWN_DIRS: dict[str, str] = {}
+
 #: Columns that a pipeline stage hands on.
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -29,10 +34,14 @@ def text_or_empty(name: str = "text") -> Column:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='rillstone-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    if found:
+        return found.rstrip("/")
+    app = spark.sparkContext.applicationId
+    if app not in OWN_DIRS:
+        folder = tempfile.mkdtemp(prefix="rillstone-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        OWN_DIRS[app] = f"file://{folder}"
+    return OWN_DIRS[app]
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
