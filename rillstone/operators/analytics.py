@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
@@ -100,10 +101,18 @@ def kll_sketch(df: DataFrame, value: str) -> DataFrame:
 
 
 def byte_counts(df: DataFrame, data: str) -> DataFrame:
-    """``byte, n`` over all values of a binary column; counts combine before the shuffle."""
-    digits = F.hex(data)
-    each = F.explode(F.transform(F.sequence(F.lit(1), F.length(data)), lambda i: F.substring(digits, 2 * i - 1, F.lit(2))))
-    return df.where(F.length(data) > 0).select(each.alias("byte")).groupBy("byte").agg(F.count("*").alias("n"))
+    """``byte, n`` over all values of a binary column: 256 counts a batch, then a grouped sum."""
+
+    def run(batches):
+        for batch in batches:
+            total = np.zeros(256, np.int64)
+            for value in batch.column(0):
+                if (raw := value.as_buffer()) is not None:
+                    total += np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
+            at = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array([f"{b:02X}" for b in at]), pa.array(total[at])], ["byte", "n"])
+
+    return df.select(F.col(data).cast("binary").alias("b")).mapInArrow(run, "byte string, n long").groupBy("byte").agg(F.sum("n").alias("n"))
 
 
 def entropy(counts: DataFrame) -> DataFrame:
