@@ -4,8 +4,9 @@ Three strong kinds are reported wherever they stand. Three weak kinds are candid
 name, an opaque string or an endpoint means little alone. They are reported when a complementary
 part stands in the same scope: a name or an endpoint needs a secret, an opaque string needs a name or
 an access identifier. A part's scope is the interval of ``reach`` characters to either side, cut at
-the nearest blank lines; parts and scopes are joined as intervals on sorted starts, so a text with
-very many parts makes no pairs.
+the nearest blank lines, and a part stands in it if the two overlap or touch, however long the part
+is. Parts and scopes are joined as intervals on sorted starts and the greatest ends up to each, so a
+text with very many parts makes no pairs.
 """
 
 from __future__ import annotations
@@ -78,21 +79,23 @@ def linked(text: str, strong: list[Span], weak: list[Span], reach: int = REACH)
     if not weak:
         return []
     starts: dict[str, list[int]] = {}
-    for s in [*strong, *weak]:
+    ends: dict[str, list[int]] = {}  # the greatest end of the parts up to each start
+    for s in sorted([*strong, *weak], key=lambda s: s.start):
         starts.setdefault(s.kind, []).append(s.start)
-    for at in starts.values():
-        at.sort()
+        tops = ends.setdefault(s.kind, [])
+        tops.append(max(tops[-1], s.end) if tops else s.end)
     needs = {"name": ("assign", "hex", "opaque"), "endpoint": ("assign", "hex", "opaque"), "opaque": ("access", "name")}
-    blanks = [m.start() for m in BLANK.finditer(text)]
+    lines = [m.span() for m in BLANK.finditer(text)]
+    blanks = [a for a, _ in lines]
     out = []
     for s in weak:
         i = bisect_left(blanks, s.start)
-        lo = max(s.start - reach, blanks[i - 1] if i else 0)
+        lo = max(s.start - reach, lines[i - 1][1] if i else 0)
         j = bisect_left(blanks, s.end)
         hi = min(s.end + reach, blanks[j] if j < len(blanks) else len(text))
         for kind in needs[s.kind]:
-            at = starts.get(kind, [])
-            if bisect_right(at, hi) > bisect_left(at, lo):
+            n = bisect_right(starts.get(kind, []), hi)
+            if n and ends[kind][n - 1] >= lo:
                 out.append(s)
                 break
     return out

@@ -96,6 +96,20 @@ def test_op6_links():
     assert kinds("login=bob password=hunter22 at 10.0.0.1:5432") == ["name", "assign", "endpoint"]
 
 
+@pytest.mark.parametrize("n", [300, 401, 600, 5000])
+def test_op6_links_of_long_secrets(n):
+    """A part that starts out of reach and ends within it."""
+    assert kinds(f"secret={'A' * n}\nhttps://api.example.com/v1") == ["assign", "endpoint"]
+    assert kinds(f"https://api.example.com/v1\nsecret={'A' * n}") == ["endpoint", "assign"]
+    assert kinds(f"{'Ab3' * n}\nuser: alice") == ["opaque", "name"]
+    assert kinds(f"AKIA{'A' * n} {'Ab3' * 12}") == ["access", "opaque"]
+    assert kinds(f"secret={'A' * n} password=hunter22\nhttps://api.example.com/v1") == ["assign", "assign", "endpoint"]
+    assert kinds(f"secret={'A' * n}\n\nhttps://api.example.com/v1") == ["assign"]  # a blank line ends the scope
+    assert kinds(f"secret={'A' * n}{' ' * 401}https://api.example.com/v1") == ["assign"]  # out of reach
+    text = f"secret={'A' * n}\nhttps://api.example.com/v1"
+    assert secrets.redact(text, secrets.find_spans(text)) == "[assign]\n[endpoint]"
+
+
 def test_op6_redaction(spark, odd, nothing):
     text = 'a token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" b'
     assert secrets.redact(text, secrets.find_spans(text)) == 'a [assign]" b'
