@@ -16,7 +16,7 @@ spanning star is kept, so copies are never expanded into pairs.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -195,13 +195,14 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", radi
     return rows.join(labels, "fp").select(key, "fp", "component_id")
 
 
-def survivors(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def survivors(df: DataFrame, key: str = "doc_id", text: str = "text", find: Callable[[DataFrame, str, str], DataFrame] = near_duplicates) -> DataFrame:
     """The rows of ``df`` that a near-dedup keeps: of each component the one with the least key.
 
+    ``find`` gives the ``component_id`` of every row.
     Rows that share a key are one document, of which one row stays. Rows with a null key can't be
     named; they stay unless every component has a named document.
     """
-    found = materialize(near_duplicates(df, key, text), "components")
+    found = materialize(find(df, key, text), "components")
     chosen = found.where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("__id")).distinct()
     kept = df.join(chosen, df[key].eqNullSafe(chosen["__id"]), "left_semi")
     if found.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").isEmpty():
