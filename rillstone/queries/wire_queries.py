@@ -198,6 +198,18 @@ def r_admitted(spark: SparkSession, d: str) -> DataFrame:
     return reassembly.accepted(small, ["doc_id"]).groupBy("doc_id").agg(F.count("*").alias("pieces"))
 
 
+ARRIVALS = "SELECT doc_id, (i * 7919) % 1009 * 1000 + i AS ord, least(300, size - i * 256) AS n FROM (SELECT doc_id, octet_length(encode(text)) AS size, unnest(range((octet_length(encode(text)) + 255) // 256)) AS i FROM documents WHERE text <> '')"
+
+
+@query(f"""WITH RECURSIVE a AS (SELECT doc_id, ord, n, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS k FROM ({ARRIVALS})),
+  f AS (SELECT doc_id, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS bytes, CAST(0 AS BIGINT) AS pieces FROM a WHERE k = 1
+    UNION ALL SELECT f.doc_id, a.k, CASE WHEN f.pieces < 256 AND f.bytes + a.n <= 16384 THEN f.bytes + a.n ELSE f.bytes END, CASE WHEN f.pieces < 256 AND f.bytes + a.n <= 16384 THEN f.pieces + 1 ELSE f.pieces END FROM f JOIN a ON a.doc_id = f.doc_id AND a.k = f.k + 1)
+  SELECT doc_id, max(pieces) AS pieces FROM f GROUP BY doc_id""")
+def r_admitted_all(spark: SparkSession, d: str) -> DataFrame:
+    """Documents of every length, of which the longest exceed the limits."""
+    return reassembly.accepted(fragments(spark, d), ["doc_id"]).groupBy("doc_id").agg(F.count("*").alias("pieces"))
+
+
 @query(f"SELECT ord, CAST(i AS BIGINT) AS row, CAST((octets >> (8 * (7 - 2 * i))) & 255 AS BIGINT) * 0 + ((octets >> (16 * (3 - i))) & 65535) AS v FROM ({FLOW_EVENTS}), (SELECT unnest(range(4)) AS i)")
 def r_sections(spark: SparkSession, d: str) -> DataFrame:
     """Eight bytes as a grid of four rows of two."""

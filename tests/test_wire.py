@@ -208,6 +208,24 @@ def test_reassembly(spark):
     assert tuple(reassembly.seek(moves, ["k"], "d", 12, "o").first()) == (1, 10, 2)
 
 
+def test_admitted_over_the_limits(spark, sf):
+    """The sequential definition over documents of every length, of which some are refused pieces."""
+    from rillstone.queries.wire_queries import fragments, r_admitted_all
+
+    arrived = {}
+    for r in fragments(spark, sf).select("doc_id", "ord", F.length("data").alias("n")).collect():
+        arrived.setdefault(r.doc_id, []).append((r.ord, r.n))
+    expected = {}
+    for i, parts in arrived.items():
+        size = count = 0
+        for _, n in sorted(parts):
+            if count < reassembly.MAX_FRAGMENTS and size + n <= 4 * reassembly.WINDOW_SIZE:
+                size, count = size + n, count + 1
+        expected[i] = count
+    assert {r.doc_id: r.pieces for r in r_admitted_all(spark, sf).collect()} == expected
+    assert any(n < len(arrived[i]) for i, n in expected.items())
+
+
 def test_info_model_and_types(spark):
     assert K.message_types(spark).count() == 36 and K.info_model(spark).count() == len(K.ELEMENTS) == 58
     assert struct.calcsize(framing.SNAPSHOT_ROW.format) == 63 and framing.DATA_HEADER.size == 35
