@@ -27,18 +27,23 @@ def drop_late(df: DataFrame, resolution: int, keys: tuple[str, ...], ts: str = "
     return df.withColumn("__b", start).withColumn("__top", F.max("__b").over(seen)).where(F.col("__b") >= F.col("__top")).drop("__b", "__top")
 
 
-def ring(buckets: DataFrame, resolution: int, n: int) -> DataFrame:
-    """The last ``n`` buckets of one series, gaps as zeros, oldest first, none before the first sample."""
-    ends = buckets.agg(F.min("start").alias("lo"), F.max("start").alias("hi")).where("hi is not null")
+def ring(buckets: DataFrame, resolution: int, n: int, keys: tuple[str, ...] = ()) -> DataFrame:
+    """The last ``n`` buckets of each series, gaps as zeros, oldest first, none before the first sample."""
+    ends = buckets.groupBy(*keys).agg(F.min("start").alias("lo"), F.max("start").alias("hi")).where("hi is not null")
     first = F.greatest("lo", F.col("hi") - (n - 1) * resolution)
-    slots = ends.select(F.explode(F.sequence(first, F.col("hi"), F.lit(resolution).cast("long"))).alias("start"))
+    slots = ends.select(*keys, F.explode(F.sequence(first, F.col("hi"), F.lit(resolution).cast("long"))).alias("start"))
     zero = F.lit(0).cast("long")
+    if keys:  # null is a key like any other
+        at = (*keys, "start")
+        slots = slots.select(*[F.col(c).alias(f"__{c}") for c in at])
+        joined = slots.join(buckets, [F.col(f"__{c}").eqNullSafe(F.col(c)) for c in at], "left")
+        return joined.select(*[F.col(f"__{c}").alias(c) for c in at], *[F.coalesce(c, zero).alias(c) for c in ("n", "total", "high")])
     return F.broadcast(slots).join(buckets, "start", "left").select("start", *[F.coalesce(c, zero).alias(c) for c in ("n", "total", "high")])
 
 
-def rate_per_second(slots: DataFrame, resolution: int, n: int) -> DataFrame:
-    """All samples of the ring over its whole span, filled or not."""
-    return slots.agg((F.coalesce(F.sum("n"), F.lit(0)) / F.lit(n * resolution / 1000.0)).alias("per_second"))
+def rate_per_second(slots: DataFrame, resolution: int, n: int, keys: tuple[str, ...] = ()) -> DataFrame:
+    """All samples of each series' ring over its whole span, filled or not."""
+    return slots.groupBy(*keys).agg((F.coalesce(F.sum("n"), F.lit(0)) / F.lit(n * resolution / 1000.0)).alias("per_second"))
 
 
 def sliding_sum(df: DataFrame, seconds: int, keys: tuple[str, ...], ts: str = "ts_ms", value: str = "v") -> DataFrame:

@@ -44,6 +44,25 @@ def t_rate(spark: SparkSession, d: str) -> DataFrame:
     return ts.rate_per_second(_ring(spark, d), HOUR, 48)
 
 
+RINGS = f"""WITH b AS (SELECT key, ts_ms - ts_ms % {HOUR} AS start, count(*) AS n, CAST(sum(v) AS BIGINT) AS total, max(v) AS high FROM ({METRIC_EVENTS}) GROUP BY 1, 2),
+  s AS (SELECT key, unnest(range(greatest(min(start), max(start) - 47 * {HOUR}), max(start) + 1, {HOUR})) AS start FROM b GROUP BY key)
+  SELECT s.key, s.start, coalesce(n, 0) AS n, coalesce(total, 0) AS total, coalesce(high, 0) AS high FROM s LEFT JOIN b ON s.start = b.start AND s.key IS NOT DISTINCT FROM b.key"""
+
+
+def _rings(spark: SparkSession, d: str) -> DataFrame:
+    return ts.ring(ts.tumbling(metric_events(spark, d), HOUR, keys=("key",)), HOUR, 48, ("key",))
+
+
+@query(RINGS)
+def t_rings_by_key(spark: SparkSession, d: str) -> DataFrame:
+    return _rings(spark, d)
+
+
+@query(f"SELECT key, sum(n) / CAST(48 * 3600 AS DOUBLE) AS per_second FROM ({RINGS}) GROUP BY key")
+def t_rates_by_key(spark: SparkSession, d: str) -> DataFrame:
+    return ts.rate_per_second(_rings(spark, d), HOUR, 48, ("key",))
+
+
 @query(f"SELECT name, sec, CAST(sum(s) OVER (PARTITION BY name ORDER BY sec RANGE BETWEEN 3599 PRECEDING AND CURRENT ROW) AS BIGINT) AS in_window FROM (SELECT name, ts_ms // 1000 AS sec, sum(v) AS s FROM ({METRIC_EVENTS}) GROUP BY 1, 2)")
 def t_sliding(spark: SparkSession, d: str) -> DataFrame:
     return ts.sliding_sum(metric_events(spark, d), 3600, ("name",))

@@ -98,6 +98,14 @@ def test_series(spark):
     assert max(r.in_window for r in ts.sliding_sum(spark.createDataFrame([("k", 0, 5), ("k", 1000, 5)], "key string, ts_ms long, v long"), 3, ("key",)).collect()) == 10
 
 
+def test_rings_by_key(spark):
+    """Every series has its own ring; a null key is one."""
+    df = spark.createDataFrame([(1, 0, 10), (1, 3000, 5), (2, 7000, 1), (2, 7500, 2), (None, 0, 4)], "key long, ts_ms long, v long")
+    rings = ts.ring(ts.tumbling(df, 1000, keys=("key",)), 1000, 3, ("key",))
+    assert sorted(map(str, map(tuple, rings.collect()))) == sorted(map(str, [(1, 1000, 0, 0, 0), (1, 2000, 0, 0, 0), (1, 3000, 1, 5, 5), (2, 7000, 2, 3, 2), (None, 0, 1, 4, 4)]))
+    assert {r.key: round(r.per_second * 3) for r in ts.rate_per_second(rings, 1000, 3, ("key",)).collect()} == {1: 1, 2: 2, None: 1}
+
+
 def test_intervals_and_interning(spark):
     df = spark.createDataFrame([("a", 0, 50), ("a", 100, 150), ("b", 0, 100), ("b", 100, 200), ("c", 5, 5)], "k string, s long, e long")
     merged = joins.islands(df, ["k"], "s", "e")
