@@ -20,13 +20,9 @@ def _session():
 
 
 def _flows(spark, path: str):
-    from .operators.sessions import session_flows
-    from .sources.datasources import read_captures
-
-    flows = session_flows(read_captures(spark, path))
-    from pyspark.sql import functions as F
+    from .pipeline import flows_of
 
-    return flows.withColumn("template_id", F.lit(0))
+    return flows_of(spark, path)
 
 
 def _inspect(args) -> None:
@@ -74,12 +70,15 @@ def _snapshot(args) -> None:
     print(report.flow_summary(decode_snapshots(files, "content")), end="")
 
 
+def validated(messages):
+    """``text``: how many messages, schemas and errors there are."""
+    return messages.selectExpr("concat('messages=', count_if(error is null), ' schemas=', count_if(type_name in ('SCHEMA_DEF', 'SCHEMA_UPDATE')), ' errors=', count_if(error is not null)) as text")
+
+
 def _validate(args) -> None:
     from .sources.datasources import read_captures
 
-    messages = read_captures(_session(), args.file)
-    found = messages.selectExpr("count_if(error is null)", "count_if(type_name in ('SCHEMA_DEF', 'SCHEMA_UPDATE'))", "count_if(error is not null)").first()
-    print(f"messages={found[0]} schemas={found[1]} errors={found[2]}")
+    print(validated(read_captures(_session(), args.file)).first().text)
 
 
 def parser() -> argparse.ArgumentParser:

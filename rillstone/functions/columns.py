@@ -324,7 +324,35 @@ def hexdump():
     return codec_udf(B.hexdump, "string")
 
 
-@pandas_udf(LongType())
-def flow_digest(src: pd.Series, dst: pd.Series, flow_id: pd.Series, sport: pd.Series, dport: pd.Series, proto: pd.Series) -> pd.Series:
-    """The compatible digest of a flow key, as a signed long."""
-    return pd.Series([B.signed(B.flow_digest(*map(int, k))) for k in zip(src, dst, flow_id, sport, dport, proto, strict=True)], dtype="int64")
+LOW = 0xFFFFFFFF
+
+
+def _times_low(x: Column, c: int) -> Column:
+    """The low 32 bits of a product of 32-bit numbers, by halves of ``c``, so that nothing overflows."""
+    return (x * long(F.lit(c & 0xFFFF)) + F.shiftleft((x * long(F.lit(c >> 16))).bitwiseAND(F.lit(0xFFFF)), 16)).bitwiseAND(F.lit(LOW))
+
+
+def wrap_mul(x: Column, c: int) -> Column:
+    """``x * c`` in 64 bits, wrapping, for a constant of up to 64 bits whose low half is under 2**31."""
+    low, high = x.bitwiseAND(F.lit(LOW)), F.shiftrightunsigned(x, 32)
+    first = low * long(F.lit(c & LOW))
+    upper = _times_low(high, c & LOW) + _times_low(low, c >> 32) + F.shiftrightunsigned(first, 32)
+    return F.shiftleft(upper.bitwiseAND(F.lit(LOW)), 32).bitwiseOR(first.bitwiseAND(F.lit(LOW)))
+
+
+def fnv1a_u32(x: Column) -> Column:
+    """FNV-1a of a number's four bytes, the most significant first.
+
+    A fold, whose variables are values: written out, every round would hold the one before several times.
+    """
+    parts = F.array(*[F.shiftrightunsigned(x, shift).bitwiseAND(F.lit(0xFF)) for shift in (24, 16, 8, 0)])
+    mixed = lambda h, b: F.transform(F.array(h.bitwiseXOR(b)), lambda y: wrap_mul(y, B.FNV_PRIME))[0]
+    return F.aggregate(parts, long(F.lit(B.signed(B.FNV_OFFSET))), mixed)
+
+
+def flow_digest(src, dst, flow_id, sport, dport, proto) -> Column:
+    """The compatible digest of a flow key, as a signed long. Null parts give null."""
+    src, dst, flow_id, sport, dport, proto = (long(x) for x in (src, dst, flow_id, sport, dport, proto))
+    turned = F.transform(F.array(fnv1a_u32(dst)), lambda x: F.shiftleft(x, 17).bitwiseOR(F.shiftrightunsigned(x, 47)))[0]
+    ports = F.shiftleft(sport, 16).bitwiseOR(dport)
+    return fnv1a_u32(src).bitwiseXOR(turned).bitwiseXOR(wrap_mul(flow_id, 0x9E3779B97F4A7C15)).bitwiseXOR(ports).bitwiseXOR(F.shiftleft(proto, 48))

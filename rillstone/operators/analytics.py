@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.pandas.types import to_arrow_type
 
 BUCKETS = 64
 GAMMA, SKETCH_BUCKETS = 1.02, 128
@@ -65,6 +66,25 @@ def approx_top_k(df: DataFrame, key: str, k: int) -> DataFrame:
     return df.agg(F.expr(f"approx_top_k({key}, {int(k)})").alias("top")).select(F.explode("top").alias("t")).select(F.col("t.item").alias("key"), F.col("t.count").alias("n"))
 
 
+def lossy_top_n(df: DataFrame, key: str, weight: str, n: int) -> DataFrame:
+    """The heaviest keys by summed weight, with bounded memory: a task holds up to ``4 n`` keys, and beyond
+    that forgets all but the ``n`` heaviest so far. Exact while a task sees no more than ``4 n`` keys."""
+    kept = df.select(F.col(key).alias("key"), F.col(weight).cast("long").alias("weight"))
+    kind = kept.schema["key"].dataType
+
+    def run(batches):
+        held: dict = {}
+        for batch in batches:
+            sums = batch.to_pandas().groupby("key", dropna=False)["weight"].sum()
+            for k, w in sums.items():
+                held[k] = held.get(k, 0) + int(w)
+            if len(held) > 4 * n:
+                held = dict(sorted(held.items(), key=lambda x: -x[1])[:n])
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), to_arrow_type(kind)), pa.array(list(held.values()), pa.int64())], ["key", "weight"])
+
+    return top_n(kept.mapInArrow(run, kept.schema), "key", "weight", n)
+
+
 def sketch_bucket(x: Column) -> Column:
     """Index of the compatible quantile sketch: powers of 1.02, all from 13 on in the last bucket.
 

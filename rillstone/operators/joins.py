@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import cidr, mask_of
 from ..types import FLOW_KEY
+from .ranges import row_numbers
 
 
 def as_of(records: DataFrame, definitions: DataFrame, keys: Sequence[str], clock: str, columns: Sequence[str]) -> DataFrame:
@@ -93,16 +94,12 @@ def overlap_decision(policy: str, a0: Column, a1: Column, b0: Column, b1: Column
 def intern(df: DataFrame, name: str, ord: str) -> DataFrame:
     """``name, id``: dense numbers from 0 in order of first appearance.
 
-    Names are numbered within ranges of their first places, and a range's numbers start behind those
-    of the ranges before it; only the ranges' sizes, a row for each task, meet in one place.
+    Names are numbered within ranges of their first places; only the ranges' sizes, a row for each
+    task, meet in one place.
     """
     first = df.where(F.col(name).isNotNull()).groupBy(name).agg(F.min(ord).alias("__first"))
-    ranged = first.repartitionByRange("__first").withColumn("__part", F.spark_partition_id())
-    sizes = ranged.groupBy("__part").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = sizes.select("__part", before.alias("__before"))
-    numbered = ranged.withColumn("__rank", F.row_number().over(Window.partitionBy("__part").orderBy("__first", name)))
-    return numbered.join(offsets, "__part").select(name, (F.col("__before") + F.col("__rank") - 1).cast("long").alias("id"))
+    placed = first.select(name, F.struct("__first", name).alias("__at"))
+    return row_numbers(placed, [], "__at", "id").select(name, (F.col("id") - 1).alias("id"))
 
 
 def bitset_union(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -1,19 +1,22 @@
 """Exact replays of order-dependent state, one session at a time.
 
-Each model is plain Python that takes events in order; ``replay_sessions`` runs the session model for
-each transport in ``applyInPandas``, where a group is one session, and the streaming module runs the
-same models in keyed state.
+Each model is plain Python that takes events in order. ``in_order`` runs one for each key over sorted
+partitions, holding a model's state and not the key's rows, and the streaming module runs the same
+models in keyed state.
 """
 
 from __future__ import annotations
 
 import struct
 from collections import OrderedDict
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..config import Config
 from ..functions.bytes import CODEC_DELTA, CODEC_DICT, CODEC_NONE, CODEC_PASS, CodecError, inflate
@@ -524,25 +527,67 @@ class Broker:
 FLOW_ROWS = "transport_id long, src long, dst long, flow_id long, sport int, dport int, proto int, octets long, packets long, records long, first_ms long, last_ms long, template_id int, template_gen long, layout_changed boolean, reason string"
 
 
-def flow_rows(transport: int, flows: list[tuple[tuple, Flow, str]]) -> pd.DataFrame:
-    names = [part.split()[0] for part in FLOW_ROWS.split(", ")]
+#: Rows that a replay holds back before it hands them on.
+ROWS_AT_ONCE = 10_000
+
+
+def in_order(rows: DataFrame, order: list[str], start: Callable[[], object], step: Callable[[object, tuple], None], drain: Callable[[object, object, bool], list[tuple]], schema: str) -> DataFrame:
+    """Sequential state over each key, the first column of ``rows``, in order of the columns ``order``.
+
+    A task reads its sorted keys as a stream and holds the state of one key, never its rows.
+    ``drain(key, state, ended)`` gives the rows that are ready.
+    """
+    key = rows.columns[0]
+    kept = [c for c in rows.columns if c not in order]
+    target = T.StructType.fromDDL(schema)
+    arrow = to_arrow_schema(target)
+
+    def batch_of(out: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*out, strict=True)) or [()] * len(arrow)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, arrow.types, strict=True)], arrow.names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, state, out = None, None, []
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if state is None or row[0] != name:
+                    if state is not None:
+                        out += drain(name, state, True)
+                    name, state = row[0], start()
+                step(state, row[1:])
+            if state is not None:
+                out += drain(name, state, False)
+            if len(out) >= ROWS_AT_ONCE:
+                yield batch_of(out)
+                out = []
+        if state is not None:
+            out += drain(name, state, True)
+        yield batch_of(out)
+
+    return rows.repartition(key).sortWithinPartitions(key, *order).select(*kept).mapInArrow(run, target)
+
+
+MESSAGE_ORDER = ["capture_ts_ms", "stream_id", "seq"]
+
+
+def _readable(messages: DataFrame) -> DataFrame:
+    return messages.where("error is null").select("transport_id", *MESSAGE_ORDER, "type_code", "payload")
+
+
+def flow_rows(transport: int, flows: list[tuple[tuple, Flow, str]]) -> list[tuple]:
     wrap = lambda x: x - (1 << 64) if x >> 63 else x
-    return pd.DataFrame([(transport, *k, wrap(f.octets), wrap(f.packets), f.records, f.first_ms, f.last_ms, f.template_id, f.template_gen, f.layout_changed, why) for k, f, why in flows], columns=names)
+    return [(transport, *k, wrap(f.octets), wrap(f.packets), f.records, f.first_ms, f.last_ms, f.template_id, f.template_gen, f.layout_changed, why) for k, f, why in flows]
 
 
 def replay_sessions(messages: DataFrame, capacity: int = 65_536, idle: int = 30_000, templates: int = 256) -> DataFrame:
     """Flows of every session with the reason for which they left the table; ``live`` if they did not."""
 
-    def one(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["capture_ts_ms", "stream_id", "seq"], kind="stable")
-        session = Session(table=FlowTable(capacity, idle), templates=TemplateCache(templates))
-        for code, payload in zip(group["type_code"], group["payload"], strict=True):
-            session.message(int(code), bytes(payload))
-        live = [(k, f, "live") for k, f in session.table.live.items()]
-        return flow_rows(int(group["transport_id"].iloc[0]), session.table.emitted + live)
+    def drain(transport: int, session: Session, ended: bool) -> list[tuple]:
+        out = flow_rows(transport, session.table.emitted)
+        session.table.emitted.clear()
+        return out + flow_rows(transport, [(k, f, "live") for k, f in session.table.live.items()]) if ended else out
 
-    good = messages.where("error is null").select("transport_id", "capture_ts_ms", "stream_id", "seq", "type_code", "payload")
-    return good.groupBy("transport_id").applyInPandas(one, FLOW_ROWS)
+    return in_order(_readable(messages), MESSAGE_ORDER, lambda: Session(table=FlowTable(capacity, idle), templates=TemplateCache(templates)), lambda s, m: s.message(m[0], bytes(m[1])), drain, FLOW_ROWS)
 
 
 OUTPUT_ROWS = "transport_id long, clock long, kind string, id long, data binary, value long"
@@ -551,36 +596,122 @@ OUTPUT_ROWS = "transport_id long, clock long, kind string, id long, data binary,
 def session_outputs(messages: DataFrame, config: Config = Config()) -> DataFrame:  # noqa: B008  (frozen)
     """What the messages of every session produce, kind by kind, and at last its counters."""
 
-    def one(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["capture_ts_ms", "stream_id", "seq"], kind="stable")
-        session = Session(config)
-        for code, payload in zip(group["type_code"], group["payload"], strict=True):
-            session.message(int(code), bytes(payload))
-        counters = {"messages": session.clock - 1, "errors": session.errors, "records": session.records, "flows": len(session.table.live), "channels": session.live_channels}
-        rows = session.outputs + [(session.clock, name, 0, None, n) for name, n in counters.items()]
-        names = [part.split()[0] for part in OUTPUT_ROWS.split(", ")]
-        out = pd.DataFrame([(int(group["transport_id"].iloc[0]), *r) for r in rows], columns=names)
-        return out.astype({"value": "Int64"})
+    def drain(transport: int, session: Session, ended: bool) -> list[tuple]:
+        out = [(transport, *r) for r in session.outputs]
+        session.outputs.clear()
+        if ended:
+            counters = {"messages": session.clock - 1, "errors": session.errors, "records": session.records, "flows": len(session.table.live), "channels": session.live_channels}
+            out += [(transport, session.clock, name, 0, None, n) for name, n in counters.items()]
+        return out
 
-    good = messages.where("error is null").select("transport_id", "capture_ts_ms", "stream_id", "seq", "type_code", "payload")
-    return good.groupBy("transport_id").applyInPandas(one, OUTPUT_ROWS)
+    return in_order(_readable(messages), MESSAGE_ORDER, lambda: Session(config), lambda s, m: s.message(m[0], bytes(m[1])), drain, OUTPUT_ROWS)
 
 
 def store_outcomes(events: DataFrame, owner: str, capacity: int, ttl: int, key: str = "key", kind: str = "kind", now: str = "now") -> DataFrame:
     """``owner, hits, misses, evictions`` of a record store for each owner, events in order of ``now``.
 
-    ``kind`` is put or get; the events of one owner are one group.
+    ``kind`` is put or get.
     """
-    kept = events.select(F.col(owner).alias("owner"), F.col(key).alias("key"), F.col(kind).alias("kind"), F.col(now).cast("long").alias("now"))
-    owner_type = kept.schema["owner"].dataType.simpleString()
-
-    def one(group: pd.DataFrame) -> pd.DataFrame:
-        store = RecordStore(capacity, ttl)
-        for r in group.sort_values("now", kind="stable").itertuples(index=False):
-            if r.kind == "put":
-                store.put(r.key, None, r.now)
+    kept = events.select(F.col(owner).alias("owner"), F.col(key).alias("key"), F.col(kind).alias("kind"), F.col(now).cast("long").alias("now"), F.col(now).cast("long").alias("__at"))
+
+    def step(store: RecordStore, row: tuple) -> None:
+        key, kind, now = row
+        if kind == "put":
+            store.put(key, None, now)
+        else:
+            store.get(key, now)
+
+    def drain(name: object, store: RecordStore, ended: bool) -> list[tuple]:
+        return [(name, store.hits, store.misses, store.evictions)] if ended else []
+
+    return in_order(kept, ["__at"], lambda: RecordStore(capacity, ttl), step, drain, f"owner {kept.schema['owner'].dataType.simpleString()}, hits long, misses long, evictions long")
+
+
+def template_outcomes(events: DataFrame, owner: str, capacity: int, template: str = "template", ord: str = "ord") -> DataFrame:
+    """``owner, hits, misses, evictions`` of a template cache for each owner; what is missing is defined."""
+    kept = events.select(F.col(owner).alias("owner"), F.col(template).cast("long").alias("template"), F.col(ord).alias("__at"))
+
+    def step(state: list, row: tuple) -> None:
+        cache = state[0]
+        if cache.get(row[0]) is None:
+            state[2] += 1
+            state[3] += len(cache.define(row[0], ()))
+        else:
+            state[1] += 1
+
+    def drain(name: object, state: list, ended: bool) -> list[tuple]:
+        return [(name, *state[1:])] if ended else []
+
+    return in_order(kept, ["__at"], lambda: [TemplateCache(capacity), 0, 0, 0], step, drain, f"owner {kept.schema['owner'].dataType.simpleString()}, hits long, misses long, evictions long")
+
+
+def window_reads(events: DataFrame, owner: str, size: int, ord: str = "ord") -> DataFrame:
+    """``owner, seq, data, error`` of every read from an owner's ring window.
+
+    An event with ``data`` places it at ``seq``; one with a null reads ``n`` bytes from there.
+    """
+    kept = events.select(F.col(owner).alias("owner"), F.col("seq").cast("long").alias("seq"), F.col("n").cast("int").alias("n"), "data", F.col(ord).alias("__at"))
+
+    def step(state: tuple, row: tuple) -> None:
+        window, out = state
+        seq, n, data = row
+        try:
+            if data is None:
+                out.append((seq, window.read(seq, n), None))
             else:
-                store.get(r.key, r.now)
-        return pd.DataFrame({"owner": [group["owner"].iloc[0]], "hits": [store.hits], "misses": [store.misses], "evictions": [store.evictions]})
+                window.place(seq, data)
+        except ValueError as e:
+            out.append((seq, None, str(e)))
+
+    def drain(name: object, state: tuple, ended: bool) -> list[tuple]:
+        rows = [(name, *r) for r in state[1]]
+        state[1].clear()
+        return rows
+
+    return in_order(kept, ["__at"], lambda: (RingWindow(size), []), step, drain, f"owner {kept.schema['owner'].dataType.simpleString()}, seq long, data binary, error string")
+
+
+def scope_states(events: DataFrame, owner: str, kind: str = "kind", plugin: str = "plugin", ord: str = "ord") -> DataFrame:
+    """``owner, depth, plugins, errors`` after all events (begin, end, register) of each owner."""
+    kept = events.select(F.col(owner).alias("owner"), F.col(kind).alias("kind"), F.col(plugin).cast("long").alias("plugin"), F.col(ord).alias("__at"))
+
+    def step(state: list, row: tuple) -> None:
+        scopes = state[0]
+        try:
+            {"begin": scopes.begin, "end": scopes.end, "register": lambda: scopes.register(row[1], 0)}[row[0]]()
+        except FramingError:
+            state[1] += 1
+
+    def drain(name: object, state: list, ended: bool) -> list[tuple]:
+        return [(name, state[0].depth, len(state[0].plugins), state[1])] if ended else []
+
+    return in_order(kept, ["__at"], lambda: [Scopes(), 0], step, drain, f"owner {kept.schema['owner'].dataType.simpleString()}, depth long, plugins long, errors long")
+
+
+def module_calls(events: DataFrame, owner: str, ord: str = "ord") -> DataFrame:
+    """``owner, symbol, value`` of every call, in order of an owner's events ``kind, number, code``.
+
+    Kinds are load, reload and unload of a module, and call of a symbol; a call that goes wrong gives null.
+    """
+    kept = events.select(F.col(owner).alias("owner"), "kind", F.col("number").cast("long").alias("number"), "code", F.col(ord).alias("__at"))
+
+    def step(state: tuple, row: tuple) -> None:
+        modules, out = state
+        kind, number, code = row
+        try:
+            if kind == "call":
+                out.append((number, modules.call(number)))
+            elif kind == "unload":
+                modules.unload(number)
+            else:
+                (modules.load if kind == "load" else modules.reload)(number, code)
+        except TransformError:
+            if kind == "call":
+                out.append((number, None))
+
+    def drain(name: object, state: tuple, ended: bool) -> list[tuple]:
+        rows = [(name, *r) for r in state[1]]
+        state[1].clear()
+        return rows
 
-    return kept.groupBy("owner").applyInPandas(one, f"owner {owner_type}, hits long, misses long, evictions long")
+    return in_order(kept, ["__at"], lambda: (Modules(), []), step, drain, f"owner {kept.schema['owner'].dataType.simpleString()}, symbol long, value long")

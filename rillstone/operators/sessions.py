@@ -13,15 +13,23 @@ from ..sources.messages import admit, data_records, template_definitions, unnest
 from ..types import FLOW_KEY
 from .flows import accumulate, idle_sessions
 from .joins import as_of
-from .timeseries import logical_clock
 
 TEMPLATE_CAPACITY, IDLE_TICKS = 256, 30_000
 
 
 def clocked(messages: DataFrame) -> DataFrame:
-    """Messages that could be read, with ``clock``: one tick each, in order of stream and message."""
-    good = messages.where("error is null").withColumn("__at", F.struct("capture_ts_ms", "stream_id", "seq"))
-    return logical_clock(good, "transport_id", "__at").drop("__at")
+    """Messages that could be read, with ``clock``: one tick each, in order of stream and message.
+
+    The first message of a session reads 2. A stream's messages are numbered by their places in it, so
+    only the streams' sizes are put in order.
+    """
+    good = messages.where("error is null")
+    streams = ["transport_id", "capture_ts_ms", "stream_id"]
+    sizes = good.groupBy(*streams).agg(F.count("*").alias("__n"), F.min("seq").alias("__first"))
+    earlier = Window.partitionBy("transport_id").orderBy("capture_ts_ms", "stream_id").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(*[F.col(c).alias(f"__{c}") for c in streams], (F.coalesce(F.sum("__n").over(earlier), F.lit(0)) - F.col("__first") + 2).alias("__offset"))
+    found = good.join(offsets, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in streams])
+    return found.withColumn("clock", (F.col("__offset") + F.col("seq")).cast("long")).drop("__offset", *[f"__{c}" for c in streams])
 
 
 def resolved_records(messages: DataFrame) -> DataFrame:
@@ -66,3 +74,24 @@ def handles(events: DataFrame, key: str, ord: str, kind: str = "kind") -> DataFr
     """``generation`` of an id at each event: how often it has been opened so far."""
     seen = Window.partitionBy(key).orderBy(ord).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return events.withColumn("generation", F.count(F.when(F.col(kind) == "open", 1)).over(seen))
+
+
+def session_totals(messages: DataFrame) -> DataFrame:
+    """``transport_id, streams, messages, records, errors, last_ms`` of every session; a stream that could not
+    be read is an error and none of its messages count."""
+    good, bad = F.col("error").isNull(), F.col("error").isNotNull()
+    record = good & (F.col("type_name") == "DATA_RECORD")
+    return messages.groupBy("transport_id").agg(F.count_distinct("stream_id").alias("streams"), F.count_if(good).alias("messages"), F.count_if(record).alias("records"), F.count_if(bad).alias("errors"), F.max("capture_ts_ms").alias("last_ms"))
+
+
+def broker_totals(sessions: DataFrame) -> DataFrame:
+    """One row over all sessions: their number, and the sums of their counters."""
+    return sessions.agg(F.count("*").alias("sessions"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("messages", "records", "errors")])
+
+
+def reapable(sessions: DataFrame, soft_cap: int, idle: int) -> DataFrame:
+    """``sessions`` that a broker may let go: idle for ``idle`` ticks behind the latest session, and only
+    while there are ``soft_cap`` sessions or more."""
+    top = sessions.agg(F.max("last_ms").alias("__top"), F.count("*").alias("__n"))
+    found = sessions.join(F.broadcast(top))  # one row
+    return found.where((F.col("__n") >= soft_cap) & (F.col("__top") - F.col("last_ms") >= idle)).drop("__top", "__n")

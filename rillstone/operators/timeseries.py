@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import div
+from .ranges import row_numbers, running_max
 
 
 def bucket(ts: Column, resolution: int) -> Column:
@@ -22,9 +23,8 @@ def tumbling(df: DataFrame, resolution: int, ts: str = "ts_ms", value: str = "v"
 
 def drop_late(df: DataFrame, resolution: int, keys: tuple[str, ...], ts: str = "ts_ms", ord: str = "ord") -> DataFrame:
     """Samples that are not older, by bucket, than any sample of their series before them."""
-    seen = Window.partitionBy(*keys).orderBy(ord).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    start = bucket(F.col(ts), resolution)
-    return df.withColumn("__b", start).withColumn("__top", F.max("__b").over(seen)).where(F.col("__b") >= F.col("__top")).drop("__b", "__top")
+    bucketed = df.withColumn("__b", bucket(F.col(ts), resolution))
+    return running_max(bucketed, keys, ord, "__b", "__top").where(F.col("__b") >= F.col("__top")).drop("__b", "__top")
 
 
 def ring(buckets: DataFrame, resolution: int, n: int, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -77,10 +77,9 @@ def ewma(df: DataFrame, half_life_ms: float, keys: tuple[str, ...], ts: str = "t
 
 def logical_clock(df: DataFrame, key: str, ord: str, start: int = 1) -> DataFrame:
     """One tick a message: the first message of a session reads ``start + 1``."""
-    return df.withColumn("clock", F.row_number().over(Window.partitionBy(key).orderBy(ord)).cast("long") + start)
+    return row_numbers(df, [key], ord, "clock").withColumn("clock", F.col("clock") + start)
 
 
 def observe(df: DataFrame, key: str, ord: str, ts: str) -> DataFrame:
     """A clock that takes the greatest time seen so far."""
-    seen = Window.partitionBy(key).orderBy(ord).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return df.withColumn("clock", F.max(ts).over(seen))
+    return running_max(df, [key], ord, ts, "clock")

@@ -63,6 +63,13 @@ class Not:
     part: object
 
 
+@dataclass(frozen=True)
+class Const:
+    """True or false; the grammar has no word for it, so only trees built in code hold one."""
+
+    value: bool
+
+
 @dataclass(frozen=True)
 class Call:
     """A builtin on the left side; an extension that is off unless asked for."""
@@ -208,8 +215,34 @@ def _children(node) -> tuple:
     return (node.part,) if isinstance(node, Not) else ()
 
 
+def fold(node):
+    """An equal tree without needless nodes: negated constants and negations are resolved, a constant that
+    decides an and or an or takes its place, one that doesn't is dropped, and so are chains of one part."""
+    if isinstance(node, Not):
+        part = fold(node.part)
+        if isinstance(part, Const):
+            return Const(not part.value)
+        return part.part if isinstance(part, Not) else Not(part)
+    if isinstance(node, (And, Or)):
+        decides = isinstance(node, Or)
+        parts = [fold(p) for p in node.parts]
+        if any(isinstance(p, Const) and p.value == decides for p in parts):
+            return Const(decides)
+        parts = [p for p in parts if not isinstance(p, Const)]
+        if not parts:
+            return Const(not decides)
+        return parts[0] if len(parts) == 1 else type(node)(tuple(parts))
+    return node
+
+
+def node_count(node) -> int:
+    return 1 + sum(map(node_count, _children(node)))
+
+
 def fields(node) -> list:
     """Field references in order, repeats included."""
+    if isinstance(node, Const):
+        return []
     inner = _children(node)
     return [f for c in inner for f in fields(c)] if inner else [node.field]
 
@@ -276,6 +309,8 @@ class _Compiler:
         return COMPARE[op](self.image(found), F.lit(image))
 
     def compile(self, node, positive: bool = True) -> Column:
+        if isinstance(node, Const):
+            return F.lit(node.value == positive)
         if isinstance(node, Not):
             return self.compile(node.part, not positive)
         if isinstance(node, (And, Or)):
@@ -300,14 +335,16 @@ def flow_columns(df: DataFrame) -> dict[str, Column]:
     return {f: df[c] for f, c in names.items() if c in df.columns}
 
 
-def compile_filter(text: str, df: DataFrame, columns: Mapping[str, Column] | None = None, calls: bool = False, compat: bool = False, value: bool = False) -> Column:
+def compile_filter(text, df: DataFrame, columns: Mapping[str, Column] | None = None, calls: bool = False, compat: bool = False, value: bool = False) -> Column:
     """A predicate for ``df``; with ``value``, one that is false where it would be null.
 
+    ``text`` is the language's text, or a tree of its nodes.
+
     ``columns`` maps the language's names to columns; by default every integral, string or binary
     column goes by its own name. Names that are not there are missing fields. A tree deeper than
     MAX_DEPTH raises; with ``compat`` it matches nothing, counted with chains nested to the left.
     """
-    tree = parse(text, calls)
+    tree = fold(parse(text, calls) if isinstance(text, str) else text)
     if depth(tree, binary=compat) > MAX_DEPTH:
         if compat:
             return F.lit(False)

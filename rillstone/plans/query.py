@@ -7,6 +7,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import wrapping_sum
 from .filter_lang import compile_filter, flow_columns
 
 
@@ -24,24 +25,46 @@ def sort_column(df: DataFrame, key: str) -> Column:
     raise ValueError(f"no sort key {key!r}")
 
 
+def _when(matched: Column, c: str) -> Column:
+    return F.when(matched, F.col(c))
+
+
+#: Each is a conditional aggregate, so one pass gives them all beside the counts.
 AGGREGATES = {
-    "count": lambda: F.count("*"),
-    "sum_octets": lambda: F.coalesce(F.sum("octets"), F.lit(0).cast("long")),
-    "sum_packets": lambda: F.coalesce(F.sum("packets"), F.lit(0).cast("long")),
-    "max_octets": lambda: F.coalesce(F.max("octets"), F.lit(0).cast("long")),
-    "min_octets": lambda: F.coalesce(F.min("octets"), F.lit(0).cast("long")),
-    "distinct_sources": lambda: F.count_distinct("src"),
-    "approx_distinct_sources": lambda: F.approx_count_distinct("src"),
+    "count": lambda m: F.count_if(m),
+    "sum_octets": lambda m: F.coalesce(F.sum(_when(m, "octets")), F.lit(0).cast("long")),
+    "sum_packets": lambda m: F.coalesce(F.sum(_when(m, "packets")), F.lit(0).cast("long")),
+    "max_octets": lambda m: F.coalesce(F.max(_when(m, "octets")), F.lit(0).cast("long")),
+    "min_octets": lambda m: F.coalesce(F.min(_when(m, "octets")), F.lit(0).cast("long")),
+    "distinct_sources": lambda m: F.count_distinct(_when(m, "src")),
+    "approx_distinct_sources": lambda m: F.approx_count_distinct(_when(m, "src")),
+    "wrapping_sum_octets": lambda m: F.coalesce(wrapping_sum(_when(m, "octets")), F.lit(0).cast("long")),
+    "wrapping_sum_packets": lambda m: F.coalesce(wrapping_sum(_when(m, "packets")), F.lit(0).cast("long")),
 }
 
 
 @dataclass(frozen=True)
 class ResultSet:
-    """Lazy frames: rows after sort and limit; one row of aggregates over all matches; one of counts."""
+    """Lazy frames: rows after sort and limit; one row of totals, of which ``aggregates`` over all matches
+    and ``counts`` are parts. The parts together are one pass over the flows."""
 
     rows: DataFrame
-    aggregates: DataFrame
-    counts: DataFrame
+    totals: DataFrame
+    labels: tuple[str, ...]
+
+    @property
+    def aggregates(self) -> DataFrame:
+        return self.totals.select(*self.labels)
+
+    @property
+    def counts(self) -> DataFrame:
+        return self.totals.select("scanned", "total_matched")
+
+    def value(self, label: str) -> Column:
+        """The first aggregate of that label, as a column of ``totals``."""
+        if label not in self.labels:
+            raise ValueError(f"no aggregate labelled {label!r}")
+        return self.totals[label]
 
 
 @dataclass(frozen=True)
@@ -82,7 +105,7 @@ class FlowQuery:
         return flows.where(compile_filter(self.condition, flows, flow_columns(flows)))
 
     def run(self, flows: DataFrame, order_by_ties: str = "ord") -> ResultSet:
-        """One filter, three consumers. The rows need no full sort where there is a limit."""
+        """Rows, which need no full sort where there is a limit, and totals of one pass."""
         found = self.matches(flows)
         key, tie = sort_column(found, self.key), F.col(order_by_ties)
         rows = found.orderBy(key.desc(), tie.desc()) if self.descending else found.orderBy(key.asc(), tie.asc())
@@ -90,7 +113,7 @@ class FlowQuery:
             rows = rows.limit(self.n)
         if self.columns:
             rows = rows.select(*self.columns)
-        aggregates = found.agg(*[AGGREGATES[k]().alias(k) for k in self.kinds or ("count",)])
-        matched = F.lit(True) if self.condition is None else compile_filter(self.condition, flows, flow_columns(flows))
-        counts = flows.agg(F.count("*").alias("scanned"), F.count_if(matched).alias("total_matched"))
-        return ResultSet(rows, aggregates, counts)
+        matched = F.lit(True) if self.condition is None else compile_filter(self.condition, flows, flow_columns(flows), value=True)
+        labels = tuple(dict.fromkeys(self.kinds or ("count",)))
+        totals = flows.agg(F.count("*").alias("scanned"), F.count_if(matched).alias("total_matched"), *[AGGREGATES[k](matched).alias(k) for k in labels])
+        return ResultSet(rows, totals, labels)

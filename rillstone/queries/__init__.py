@@ -25,4 +25,4 @@ def query(sql: str | None = None, name: str | None = None) -> Callable[[Query],
 
 
 def load() -> None:
-    from . import flow_queries, series_queries, text_queries, wire_queries  # noqa: F401
+    from . import flow_queries, series_queries, state_queries, text_queries, wire_queries  # noqa: F401

@@ -270,7 +270,18 @@ def j_template_asof(spark: SparkSession, d: str) -> DataFrame:
     return joins.as_of(t.where(~is_def), defs, ["k"], "clock", ["def"]).select("id", "def", "generation")
 
 
-@query(None)
+def _fnv(x: str) -> str:
+    """FNV-1a of a number's four bytes, most significant first, as an unsigned 64-bit number."""
+    out = "14695981039346656037::HUGEINT"
+    for shift in (24, 16, 8, 0):
+        out = f"(xor({out}, CAST(({x} >> {shift}) & 255 AS HUGEINT)) * 1099511628211 % 18446744073709551616::HUGEINT)"
+    return out
+
+
+@query(f"""WITH h AS (SELECT {KEY}, {_fnv('src')} AS a, {_fnv('dst')} AS b, CAST(flow_id AS HUGEINT) * 11400714819323198485::HUGEINT % 18446744073709551616::HUGEINT AS c FROM ({FLOWS})),
+  x AS (SELECT {KEY}, xor(xor(xor(a, (b * 131072) % 18446744073709551616::HUGEINT + b // 140737488355328), c), CAST((sport << 16) + dport AS HUGEINT)) AS d FROM h),
+  y AS (SELECT {KEY}, xor(d, CAST(proto AS HUGEINT) * 281474976710656) AS d FROM x)
+  SELECT {KEY}, CAST(CASE WHEN d >= 9223372036854775808::HUGEINT THEN d - 18446744073709551616::HUGEINT ELSE d END AS BIGINT) AS digest FROM y""")
 def j_flow_digest(spark: SparkSession, d: str) -> DataFrame:
     t = flow_table(spark, d)
     return t.select(*KEY.split(", "), C.flow_digest(*[F.col(c) for c in KEY.split(", ")]).alias("digest"))
@@ -346,10 +357,6 @@ def a_top_n(spark: SparkSession, d: str) -> DataFrame:
     return analytics.top_n(flow_table(spark, d), "src", "octets", 16)
 
 
-@query(None)
-def a_top_k_sketch(spark: SparkSession, d: str) -> DataFrame:
-    return analytics.approx_top_k(flow_events(spark, d), "src", 10)
-
 
 @query(
     f"""WITH b AS (SELECT CASE WHEN packets = 0 THEN 0 WHEN packets >= 13 THEN 127 ELSE CAST(floor(ln(packets) / ln(1.02::DOUBLE)) AS BIGINT) END AS i, packets FROM ({FLOWS})),
@@ -362,10 +369,6 @@ def a_compat_quantiles(spark: SparkSession, d: str) -> DataFrame:
     return analytics.compat_quantiles(flow_table(spark, d), "packets", [0.05, 0.1, 0.25, 0.5, 0.99])
 
 
-@query(None)
-def a_quantiles(spark: SparkSession, d: str) -> DataFrame:
-    return analytics.quantiles(flow_table(spark, d), "octets", [0.5, 0.9, 0.99])
-
 
 @query(f"SELECT 'source' AS side, * FROM (SELECT src AS key, CAST(sum(octets) AS BIGINT) AS weight FROM ({FLOWS}) GROUP BY 1 ORDER BY weight DESC, key LIMIT 5) UNION ALL SELECT 'destination', * FROM (SELECT dst AS key, CAST(sum(octets) AS BIGINT) AS weight FROM ({FLOWS}) GROUP BY 1 ORDER BY weight DESC, key LIMIT 5)")
 def a_summary(spark: SparkSession, d: str) -> DataFrame:

@@ -25,25 +25,6 @@ def t_late_drop(spark: SparkSession, d: str) -> DataFrame:
     return ts.drop_late(metric_events(spark, d), HOUR, ("name",)).groupBy("name").agg(F.count("*").alias("kept"), F.sum("v").alias("total"))
 
 
-RING = f"""WITH b AS (SELECT ts_ms - ts_ms % {HOUR} AS start, count(*) AS n, CAST(sum(v) AS BIGINT) AS total, max(v) AS high FROM ({METRIC_EVENTS}) WHERE key = 7 GROUP BY 1),
-  s AS (SELECT unnest(range(greatest(min(start), max(start) - 47 * {HOUR}), max(start) + 1, {HOUR})) AS start FROM b)
-  SELECT s.start, coalesce(n, 0) AS n, coalesce(total, 0) AS total, coalesce(high, 0) AS high FROM s LEFT JOIN b USING (start)"""
-
-
-def _ring(spark: SparkSession, d: str) -> DataFrame:
-    return ts.ring(ts.tumbling(metric_events(spark, d).where("key = 7"), HOUR), HOUR, 48)
-
-
-@query(RING)
-def t_ring(spark: SparkSession, d: str) -> DataFrame:
-    return _ring(spark, d)
-
-
-@query(f"SELECT coalesce(sum(n), 0) / CAST(48 * 3600 AS DOUBLE) AS per_second FROM ({RING})")
-def t_rate(spark: SparkSession, d: str) -> DataFrame:
-    return ts.rate_per_second(_ring(spark, d), HOUR, 48)
-
-
 RINGS = f"""WITH b AS (SELECT key, ts_ms - ts_ms % {HOUR} AS start, count(*) AS n, CAST(sum(v) AS BIGINT) AS total, max(v) AS high FROM ({METRIC_EVENTS}) GROUP BY 1, 2),
   s AS (SELECT key, unnest(range(greatest(min(start), max(start) - 47 * {HOUR}), max(start) + 1, {HOUR})) AS start FROM b GROUP BY key)
   SELECT s.key, s.start, coalesce(n, 0) AS n, coalesce(total, 0) AS total, coalesce(high, 0) AS high FROM s LEFT JOIN b ON s.start = b.start AND s.key IS NOT DISTINCT FROM b.key"""
@@ -54,12 +35,12 @@ def _rings(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(RINGS)
-def t_rings_by_key(spark: SparkSession, d: str) -> DataFrame:
+def t_ring(spark: SparkSession, d: str) -> DataFrame:
     return _rings(spark, d)
 
 
 @query(f"SELECT key, sum(n) / CAST(48 * 3600 AS DOUBLE) AS per_second FROM ({RINGS}) GROUP BY key")
-def t_rates_by_key(spark: SparkSession, d: str) -> DataFrame:
+def t_rate(spark: SparkSession, d: str) -> DataFrame:
     return ts.rate_per_second(_rings(spark, d), HOUR, 48, ("key",))
 
 
@@ -80,9 +61,14 @@ def ewma_model(samples: list[tuple[int, int]], half_life: float) -> float:
     return rate
 
 
-@query(None)
+@query(f"""WITH RECURSIVE e AS (SELECT key, ts_ms AS t, CAST(v AS DOUBLE) AS x, row_number() OVER (PARTITION BY key ORDER BY event_id) AS n FROM ({METRIC_EVENTS})),
+  f AS (SELECT key, CAST(0 AS BIGINT) AS n, t AS last, CAST(0 AS DOUBLE) AS pending, CAST(0 AS DOUBLE) AS rate FROM e WHERE n = 1
+    UNION ALL SELECT f.key, e.n, CASE WHEN e.t - f.last >= 1000 THEN e.t ELSE f.last END, CASE WHEN e.t - f.last >= 1000 THEN CAST(0 AS DOUBLE) ELSE f.pending + e.x END,
+      CASE WHEN e.t - f.last >= 1000 THEN f.rate + (1 - exp(-1000.0 * ln(CAST(2 AS DOUBLE)) / CAST(3600000 AS DOUBLE))) * ((f.pending + e.x) / (CAST(e.t - f.last AS DOUBLE) / 1000) - f.rate) ELSE f.rate END
+      FROM f JOIN e ON e.key = f.key AND e.n = f.n + 1)
+  SELECT key, round(arg_max(rate, n), 9) AS rate FROM f GROUP BY key""")
 def t_ewma(spark: SparkSession, d: str) -> DataFrame:
-    return ts.ewma(metric_events(spark, d), 3_600_000.0, ("key",), ord="event_id")
+    return ts.ewma(metric_events(spark, d), 3_600_000.0, ("key",), ord="event_id").select("key", F.round("rate", 9).alias("rate"))
 
 
 @query(f"SELECT name, event_id, row_number() OVER (PARTITION BY name ORDER BY event_id) + 1 AS clock FROM ({METRIC_EVENTS})")

@@ -59,9 +59,10 @@ def k_frame(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT src, count(*) AS n, CAST(sum(octets) AS BIGINT) AS total, CAST(max(octets) AS BIGINT) AS high FROM ({FLOW_EVENTS}) GROUP BY src")
 def k_delta_column(spark: SparkSession, d: str) -> DataFrame:
-    """A column of each source's octets, delta-coded to bytes and back to eight-byte values."""
-    images = F.array_join(F.transform(F.collect_list("octets"), lambda x: F.lpad(F.hex(x), 16, "0")), "")
-    columns = flow_events(spark, d).groupBy("src").agg(F.unhex(images).alias("raw"))
+    """Columns of octets, one for each order of a source and in order of arrival, delta-coded to bytes and
+    back to eight-byte values."""
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("ord", "octets"))), lambda x: F.lpad(F.hex(x["octets"]), 16, "0"))
+    columns = flow_events(spark, d).groupBy("src", F.expr("ord div 1000000000")).agg(F.unhex(F.array_join(ordered, "")).alias("raw"))
     back = columns.select("src", C.inflate(B.CODEC_DELTA, 1 << 26)(C.deflate(B.CODEC_DELTA)("raw")).alias("raw"))
     value = F.explode(F.transform(F.sequence(F.lit(0), F.length("raw") - 8, F.lit(8)), lambda i: C.big_endian(F.col("raw"), i, 8)))
     return back.select("src", value.alias("v")).groupBy("src").agg(F.count("*").alias("n"), F.sum("v").alias("total"), F.max("v").alias("high"))
@@ -75,7 +76,18 @@ def k_block_size(spark: SparkSession, d: str) -> DataFrame:
     return e.join(low, ["src", "flow_id"]).groupBy("src", "flow_id").agg(F.sum(C.varint_len(F.col("octets") - F.col("low"))).alias("size"))
 
 
-@query(None)
+#: The bytes of a text as a list of numbers.
+BYTES = "list_transform(regexp_extract_all(hex(encode({t})), '..'), lambda x: CAST('0x' || x AS INTEGER))"
+SIGNED = "CASE WHEN {x} >= 9223372036854775808::HUGEINT THEN {x} - 18446744073709551616::HUGEINT ELSE {x} END"
+
+
+@query(f"""WITH t AS (SELECT doc_id, {BYTES.format(t="coalesce(text, '')")} AS b FROM documents),
+  crc AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, CAST(i AS BIGINT))) AS steps),
+  f AS (SELECT doc_id, b, list_reduce(b, lambda c, x: xor(c >> 8, steps[xor(c, CAST(x AS BIGINT)) & 255 + 1]), CAST(4294967295 AS BIGINT)) AS c,
+    list_reduce(b, lambda h, x: (xor(h, CAST(x AS HUGEINT)) * 1099511628211) % 18446744073709551616::HUGEINT, 14695981039346656037::HUGEINT) AS h FROM t, crc)
+  SELECT doc_id, xor(c, 4294967295) AS crc,
+    (CAST(len(b) AS BIGINT) + coalesce(list_sum(list_transform(b, lambda x, i: (len(b) - i + 1) * x)), 0)) % 65521 * 65536 + (1 + coalesce(list_sum(b), 0)) % 65521 AS adler,
+    CAST({SIGNED.format(x='h')} AS BIGINT) AS fnv FROM f""".replace("xor(c, CAST(x AS BIGINT)) & 255 + 1", "(xor(c, CAST(x AS BIGINT)) & 255) + 1"))
 def k_checksums(spark: SparkSession, d: str) -> DataFrame:
     data = F.col("text").cast("binary")
     return documents(spark, d).select("doc_id", F.crc32(data).alias("crc"), C.adler32()(data).alias("adler"), C.fnv1a()(data).alias("fnv"))
@@ -107,9 +119,11 @@ def a_entropy(spark: SparkSession, d: str) -> DataFrame:
     return found.withColumn("bits", F.round("bits", 6))
 
 
-@query(None)
+@query("""WITH c AS (SELECT doc_id, b, count(*) AS n FROM (SELECT doc_id, unnest(string_split_regex(regexp_replace(hex(encode(coalesce(text, ''))), '(..)', '\\1 ', 'g'), ' ')) AS b FROM documents) WHERE b <> '' GROUP BY ALL),
+  e AS (SELECT doc_id, log2(sum(n)) - sum(n * log2(n)) / sum(n) AS bits FROM c GROUP BY 1)
+  SELECT doc_id, coalesce(round(abs(bits), 6), 0) AS bits FROM documents LEFT JOIN e USING (doc_id)""")
 def a_row_entropy(spark: SparkSession, d: str) -> DataFrame:
-    return documents(spark, d).select("doc_id", analytics.row_entropy()(F.col("text").cast("binary")).alias("bits"))
+    return documents(spark, d).select("doc_id", F.round(analytics.row_entropy()(F.col("text").cast("binary")), 6).alias("bits"))
 
 
 EXPORTED = "src, dst, sport, dport, proto, octets, packets, records"
@@ -140,7 +154,13 @@ def x_preview(spark: SparkSession, d: str) -> DataFrame:
     return documents(spark, d).select("doc_id", C.hex_preview(F.col("text").cast("binary")).alias("preview"))
 
 
-@query(None)
+PART = "rpad(trim(regexp_replace(lower(substr(h, {a}, 16)), '(..)', '\\1 ', 'g')), 23, ' ')"
+
+
+@query(f"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(hex(encode(coalesce(text, ''))), '.{{1,32}}')) AS h, generate_subscripts(regexp_extract_all(hex(encode(coalesce(text, ''))), '.{{1,32}}'), 1) - 1 AS i FROM documents),
+  l AS (SELECT doc_id, i, lower(lpad(hex(16 * i), 8, '0')) || '  ' || {PART.format(a=1)} || '  ' || {PART.format(a=17)} || '  |' ||
+    array_to_string(list_transform(regexp_extract_all(h, '..'), lambda x: CASE WHEN x BETWEEN '20' AND '7E' THEN chr(CAST('0x' || x AS INTEGER)) ELSE '.' END), '') || '|' || chr(10) AS line FROM t)
+  SELECT doc_id, coalesce(string_agg(line, '' ORDER BY i), '') AS dump FROM documents LEFT JOIN l USING (doc_id) GROUP BY doc_id""")
 def x_hexdump(spark: SparkSession, d: str) -> DataFrame:
     return documents(spark, d).select("doc_id", C.hexdump()(F.col("text").cast("binary")).alias("dump"))
 
@@ -173,13 +193,6 @@ def u_transform(spark: SparkSession, d: str) -> DataFrame:
     return t.select("src", "dst", "flow_id", "sport", "dport", "proto", "score")
 
 
-@query("SELECT * FROM (VALUES (1, 0, 8, 1, CAST(7 AS BIGINT)), (2, 2, 1, 2, 10), (3, 4, 5, 1, 70), (4, 5, 11, 1, 70)) t(step, pc, opcode, depth, top)")
-def u_trace(spark: SparkSession, d: str) -> DataFrame:
-    transform.register_trace(spark)
-    code = transform.assemble("load 0\npush 10\nmul\nret").hex()
-    return spark.sql(f"SELECT * FROM transform_trace(X'{code}', 7)")
-
-
 @query(f"SELECT src, dst, flow_id, sport, dport, proto, CASE WHEN packets = 25 THEN 1000 ELSE octets END AS score FROM ({FLOWS})")
 def u_transform_jumps(spark: SparkSession, d: str) -> DataFrame:
     t = transform.transform(flow_table(spark, d), transform.assemble(CAPPED), {0: "octets", 1: "packets"}, "score")

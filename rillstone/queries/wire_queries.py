@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import struct
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,57 +22,68 @@ TEMPLATE_FIELDS = [(8, "u32", 4), (12, "u32", 4), (1, "u64", 8)]
 
 
 def streams(spark: SparkSession, d: str) -> DataFrame:
-    """Flow events as streams: a session for each destination, a stream for each of its groups of 500
+    """Flow events as streams: a session for each source, a stream for each of its groups of 20,000
     orders, the session opened and its template defined in the first."""
-    e = flow_events(spark, d).withColumn("part", F.expr("ord div 500000000000"))
-    first = e.groupBy("dst").agg(F.min("part").alias("first"))
-    rows = e.join(first, "dst")
+    e = flow_events(spark, d).withColumn("part", F.expr("ord div 20000000000000"))
+    first = e.groupBy("src").agg(F.min("part").alias("first"))
+    kept = ["src", "part", "ord", "dst", "sport", "dport", "proto", "flow_id", "octets", "packets"]
+    rows = e.join(first, "src").select("first", *kept).repartition("src", "part").sortWithinPartitions("src", "part", "ord")
 
-    def pack(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("ord")
-        out = []
-        if group["part"].iloc[0] == group["first"].iloc[0]:
-            out = [framing.session_open(7), framing.template_def(256, 1, TEMPLATE_FIELDS)]
-        for r in group.itertuples(index=False):
-            out.append(framing.data_record(256, r.flow_id, r.src, r.dst, r.sport, r.dport, r.proto, r.octets, r.packets, struct.pack(">I", r.packets)))
-        part = int(group["part"].iloc[0])
-        return pd.DataFrame({"stream_id": [f"{int(group['dst'].iloc[0])}/{part:08d}"], "transport_id": [int(group["dst"].iloc[0])], "capture_ts_ms": [part], "data": [framing.stream(out)]})
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, held = None, []
 
-    return rows.groupBy("dst", "part").applyInPandas(pack, "stream_id string, transport_id long, capture_ts_ms long, data binary")
+        def whole() -> pa.RecordBatch:
+            src, part = name
+            columns = ([f"{src}/{part:08d}"], [src], [part], [framing.stream(held)])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["stream_id", "transport_id", "capture_ts_ms", "data"])
 
+        for batch in batches:
+            for first, src, part, _, dst, sport, dport, proto, flow_id, octets, packets in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (src, part) != name:
+                    if name is not None:
+                        yield whole()
+                    name, held = (src, part), [framing.session_open(7), framing.template_def(256, 1, TEMPLATE_FIELDS)] if part == first else []
+                held.append(framing.data_record(256, flow_id, src, dst, sport, dport, proto, octets, packets, struct.pack(">I", packets)))
+        if name is not None:
+            yield whole()
 
-TICKS = f"SELECT *, 3 + row_number() OVER (PARTITION BY dst ORDER BY ord) AS clock FROM ({FLOW_EVENTS})"
+    return rows.mapInArrow(pack, "stream_id string, transport_id long, capture_ts_ms long, data binary")
 
 
-@query(f"SELECT type_name, count(*) AS n, CAST(sum(len) AS BIGINT) AS bytes FROM (SELECT 'DATA_RECORD' AS type_name, 39 AS len FROM ({FLOW_EVENTS}) UNION ALL SELECT 'SESSION_OPEN', 8 FROM (SELECT DISTINCT dst FROM ({FLOW_EVENTS})) UNION ALL SELECT 'TEMPLATE_DEF', 21 FROM (SELECT DISTINCT dst FROM ({FLOW_EVENTS}))) GROUP BY 1")
+TICKS = f"SELECT *, 3 + row_number() OVER (PARTITION BY src ORDER BY ord) AS clock FROM ({FLOW_EVENTS})"
+
+
+@query(f"SELECT type_name, count(*) AS n, CAST(sum(len) AS BIGINT) AS bytes FROM (SELECT 'DATA_RECORD' AS type_name, 39 AS len FROM ({FLOW_EVENTS}) UNION ALL SELECT 'SESSION_OPEN', 8 FROM (SELECT DISTINCT src FROM ({FLOW_EVENTS})) UNION ALL SELECT 'TEMPLATE_DEF', 21 FROM (SELECT DISTINCT src FROM ({FLOW_EVENTS}))) GROUP BY 1")
 def s_parse_streams(spark: SparkSession, d: str) -> DataFrame:
     return messages.parse_streams(streams(spark, d)).groupBy("type_name").agg(F.count("*").alias("n"), F.sum(F.length("payload")).cast("long").alias("bytes"))
 
 
-@query("SELECT CAST(1000 AS BIGINT) AS streams, CAST(500 AS BIGINT) AS good, CAST(500 AS BIGINT) AS errors")
+@query("SELECT count(*) AS streams, count(*) FILTER (o_custkey % 3 <> 0) AS good, count(*) FILTER (o_custkey % 3 = 0) AS errors FROM orders")
 def s_damaged_streams(spark: SparkSession, d: str) -> DataFrame:
-    """A damaged stream gives one error row and none of its messages."""
+    """A stream for each order, of which those of every third customer lost their last byte: a damaged
+    stream gives one error row and none of its messages."""
     good = framing.stream([framing.session_open(1), framing.session_close(1)])
-    rows = spark.range(1000).select(F.col("id").cast("string").alias("stream_id"), F.lit(1).alias("transport_id"), F.lit(0).alias("capture_ts_ms"), F.when(F.col("id") % 2 == 0, F.lit(good)).otherwise(F.substring(F.lit(good), 1, len(good) - 1)).alias("data"))
+    cut = F.when(F.col("o_custkey") % 3 == 0, F.substring(F.lit(good), 1, len(good) - 1)).otherwise(F.lit(good))
+    rows = read_table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("stream_id"), F.col("o_custkey").alias("transport_id"), F.lit(0).alias("capture_ts_ms"), cut.alias("data"))
     found = messages.parse_streams(rows)
     return found.agg(F.count_distinct("stream_id").alias("streams"), F.count_distinct(F.when(F.col("type_name") == "SESSION_OPEN", F.col("stream_id"))).alias("good"), F.count_if(F.col("error").isNotNull()).alias("errors"))
 
 
-@query(f"SELECT 'data' AS category, count(*) AS messages, CAST(count(*) * 39 AS BIGINT) AS bytes, CAST(0 AS BIGINT) AS rejected FROM ({FLOW_EVENTS}) UNION ALL SELECT 'session', count(DISTINCT dst), count(DISTINCT dst) * 8, 0 FROM ({FLOW_EVENTS}) UNION ALL SELECT 'schema', count(DISTINCT dst), count(DISTINCT dst) * 21, 0 FROM ({FLOW_EVENTS})")
+@query(f"SELECT 'data' AS category, count(*) AS messages, CAST(count(*) * 39 AS BIGINT) AS bytes, CAST(0 AS BIGINT) AS rejected FROM ({FLOW_EVENTS}) UNION ALL SELECT 'session', count(DISTINCT src), count(DISTINCT src) * 8, 0 FROM ({FLOW_EVENTS}) UNION ALL SELECT 'schema', count(DISTINCT src), count(DISTINCT src) * 21, 0 FROM ({FLOW_EVENTS})")
 def s_router(spark: SparkSession, d: str) -> DataFrame:
     return messages.routed(messages.admit(sessions.clocked(messages.parse_streams(streams(spark, d)))))
 
 
-@query(f"SELECT dst AS transport_id, CAST(clock AS BIGINT) AS clock, CAST(256 AS BIGINT) AS template_id, src, flow_id, octets, packets, CAST(1 AS BIGINT) AS schema_id, CAST(3 AS BIGINT) AS field_count, CAST(1 AS BIGINT) AS generation, packets AS body FROM ({TICKS})")
+@query(f"SELECT src AS transport_id, CAST(clock AS BIGINT) AS clock, CAST(256 AS BIGINT) AS template_id, src, flow_id, octets, packets, CAST(1 AS BIGINT) AS schema_id, CAST(3 AS BIGINT) AS field_count, CAST(1 AS BIGINT) AS generation, packets AS body FROM ({TICKS})")
 def j_resolved_records(spark: SparkSession, d: str) -> DataFrame:
     """Data records by the session's gate, clock and templates, with the body's first column."""
     found = sessions.resolved_records(messages.parse_streams(streams(spark, d)))
     return found.select("transport_id", "clock", "template_id", "src", "flow_id", "octets", "packets", "schema_id", "field_count", "generation", messages.big_endian(F.col("body"), 0, 4).alias("body"))
 
 
-LIVES = f"""SELECT dst AS transport_id, {', '.join(FLOW_KEY)}, CAST(sum(octets) AS BIGINT) AS octets, CAST(sum(packets) AS BIGINT) AS packets, count(*) AS records, min(clock) AS first_ms, max(clock) AS last_ms FROM (
+LIVES = f"""SELECT src AS transport_id, {', '.join(FLOW_KEY)}, CAST(sum(octets) AS BIGINT) AS octets, CAST(sum(packets) AS BIGINT) AS packets, count(*) AS records, min(clock) AS first_ms, max(clock) AS last_ms FROM (
   SELECT *, sum(gone) OVER (PARTITION BY {', '.join(FLOW_KEY)} ORDER BY clock ROWS UNBOUNDED PRECEDING) AS life FROM (
-    SELECT *, CASE WHEN lag(clock) OVER (PARTITION BY dst ORDER BY clock) >= lag(clock) OVER (PARTITION BY {', '.join(FLOW_KEY)} ORDER BY clock) + 700 THEN 1 ELSE 0 END AS gone FROM ({TICKS}))) GROUP BY {', '.join(FLOW_KEY)}, life"""
+    SELECT *, CASE WHEN lag(clock) OVER (PARTITION BY src ORDER BY clock) >= lag(clock) OVER (PARTITION BY {', '.join(FLOW_KEY)} ORDER BY clock) + 700 THEN 1 ELSE 0 END AS gone FROM ({TICKS}))) GROUP BY {', '.join(FLOW_KEY)}, life"""
 
 
 @query(LIVES)
@@ -95,12 +107,12 @@ def l_bounded_table(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("transport_id", "reason").agg(F.count("*").alias("flows"), F.sum("octets").alias("octets"))
 
 
-@query(f"SELECT type_name, detail, count(*) AS n FROM (SELECT 'DATA_RECORD' AS type_name, 'template=256 flow=0x' || lower(lpad(hex(flow_id), 8, '0')) AS detail FROM ({FLOW_EVENTS}) UNION ALL SELECT 'SESSION_OPEN', 'session=0x00000007 features=0x00000000' FROM (SELECT DISTINCT dst FROM ({FLOW_EVENTS})) UNION ALL SELECT 'TEMPLATE_DEF', 'template=256 schema=1 fields=3' FROM (SELECT DISTINCT dst FROM ({FLOW_EVENTS}))) GROUP BY ALL")
+@query(f"SELECT type_name, detail, count(*) AS n FROM (SELECT 'DATA_RECORD' AS type_name, 'template=256 flow=0x' || lower(lpad(hex(flow_id), 8, '0')) AS detail FROM ({FLOW_EVENTS}) UNION ALL SELECT 'SESSION_OPEN', 'session=0x00000007 features=0x00000000' FROM (SELECT DISTINCT src FROM ({FLOW_EVENTS})) UNION ALL SELECT 'TEMPLATE_DEF', 'template=256 schema=1 fields=3' FROM (SELECT DISTINCT src FROM ({FLOW_EVENTS}))) GROUP BY ALL")
 def s_inspect(spark: SparkSession, d: str) -> DataFrame:
     return messages.inspect(messages.parse_streams(streams(spark, d))).groupBy("type_name", "detail").agg(F.count("*").alias("n"))
 
 
-@query(f"SELECT dst AS transport_id, count(*) + 2 AS messages, CAST(0 AS BIGINT) AS errors, CAST(count(*) * 39 + 29 AS BIGINT) AS bytes, count(*) AS records, CAST(0 AS BIGINT) AS flows_opened, CAST(1 AS BIGINT) AS templates, CAST(0 AS BIGINT) AS fragments FROM ({FLOW_EVENTS}) GROUP BY dst")
+@query(f"SELECT src AS transport_id, count(*) + 2 AS messages, CAST(0 AS BIGINT) AS errors, CAST(count(*) * 39 + 29 AS BIGINT) AS bytes, count(*) AS records, CAST(0 AS BIGINT) AS flows_opened, CAST(1 AS BIGINT) AS templates, CAST(0 AS BIGINT) AS fragments FROM ({FLOW_EVENTS}) GROUP BY src")
 def l_metrics(spark: SparkSession, d: str) -> DataFrame:
     from ..operators.flows import message_metrics
 
@@ -151,34 +163,6 @@ def d_structured(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("src").agg(F.count("*").alias("elements"), F.sum(messages.big_endian(F.col("b"), 0, 8)).alias("total"))
 
 
-SCHEMA_ROWS = [(1, 0, 8, "u32", 4), (1, 1, 7, "u16", 2), (1, 2, 82, "utf8", 0), (1, 3, 4, "u8", 1), (2, 0, 8, "u32", 4), (2, 1, 7, "u32", 4), (2, 2, 56, "fixed", 6), (2, 3, 56, "fixed", 0)]
-
-
-def schema_rows(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(SCHEMA_ROWS, "schema_id int, pos int, id int, type string, width int")
-
-
-@query('SELECT * FROM (VALUES (1, 0, CAST(0 AS BIGINT)), (1, 1, 4), (1, 2, 6), (1, 3, NULL), (2, 0, 0), (2, 1, 4), (2, 2, 8), (2, 3, 14)) t(schema_id, pos, "offset")')
-def d_layout(spark: SparkSession, d: str) -> DataFrame:
-    return decode.layout(schema_rows(spark)).select("schema_id", "pos", "offset")
-
-
-@query("SELECT * FROM (VALUES (1, CAST(15 AS BIGINT), CAST(8 AS BIGINT), CAST(2 AS BIGINT)), (2, 14, 14, 4)) t(schema_id, row_width, min_len, fixed_prefix)")
-def d_layout_stats(spark: SparkSession, d: str) -> DataFrame:
-    return decode.layout_stats(schema_rows(spark))
-
-
-@query("SELECT * FROM (VALUES (7, 'retyped', false), (82, 'removed', false), (4, 'removed', false), (56, 'added', true)) t(id, change, compatible)")
-def d_schema_diff(spark: SparkSession, d: str) -> DataFrame:
-    s = schema_rows(spark)
-    return decode.diff(s.where("schema_id = 1"), s.where("schema_id = 2 and pos < 3")).select("id", "change", "compatible")
-
-
-@query("SELECT * FROM (VALUES (2, 1, 'type differs'), (2, 2, 'duplicate id'), (2, 3, 'duplicate id'), (2, 3, 'width differs'), (2, 3, 'zero width')) t(schema_id, pos, problem)")
-def d_schema_problems(spark: SparkSession, d: str) -> DataFrame:
-    return decode.problems(schema_rows(spark)).select("schema_id", "pos", "problem")
-
-
 def fragments(spark: SparkSession, d: str) -> DataFrame:
     """Texts cut into overlapping pieces of 300 bytes, out of order."""
     t = read_table(spark, d, "documents").where("text is not null and text <> ''").select("doc_id", F.col("text").cast("binary").alias("b"))
@@ -192,12 +176,6 @@ def r_reassemble(spark: SparkSession, d: str) -> DataFrame:
     return reassembly.reassemble(fragments(spark, d), ["doc_id"], limit=1 << 26).select("doc_id", F.md5("data").alias("digest"))
 
 
-@query("SELECT doc_id, CAST(least(256, (octet_length(encode(text)) + 255) // 256, CASE WHEN octet_length(encode(text)) <= 16384 THEN 256 ELSE 0 END) AS BIGINT) AS pieces FROM documents WHERE text <> '' AND octet_length(encode(text)) BETWEEN 300 AND 12000")
-def r_admitted(spark: SparkSession, d: str) -> DataFrame:
-    small = fragments(spark, d).join(read_table(spark, d, "documents").where(F.octet_length("text").between(300, 12000)).select("doc_id"), "doc_id")
-    return reassembly.accepted(small, ["doc_id"]).groupBy("doc_id").agg(F.count("*").alias("pieces"))
-
-
 ARRIVALS = "SELECT doc_id, (i * 7919) % 1009 * 1000 + i AS ord, least(300, size - i * 256) AS n FROM (SELECT doc_id, octet_length(encode(text)) AS size, unnest(range((octet_length(encode(text)) + 255) // 256)) AS i FROM documents WHERE text <> '')"
 
 
@@ -205,7 +183,7 @@ ARRIVALS = "SELECT doc_id, (i * 7919) % 1009 * 1000 + i AS ord, least(300, size
   f AS (SELECT doc_id, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS bytes, CAST(0 AS BIGINT) AS pieces FROM a WHERE k = 1
     UNION ALL SELECT f.doc_id, a.k, CASE WHEN f.pieces < 256 AND f.bytes + a.n <= 16384 THEN f.bytes + a.n ELSE f.bytes END, CASE WHEN f.pieces < 256 AND f.bytes + a.n <= 16384 THEN f.pieces + 1 ELSE f.pieces END FROM f JOIN a ON a.doc_id = f.doc_id AND a.k = f.k + 1)
   SELECT doc_id, max(pieces) AS pieces FROM f GROUP BY doc_id""")
-def r_admitted_all(spark: SparkSession, d: str) -> DataFrame:
+def r_admitted(spark: SparkSession, d: str) -> DataFrame:
     """Documents of every length, of which the longest exceed the limits."""
     return reassembly.accepted(fragments(spark, d), ["doc_id"]).groupBy("doc_id").agg(F.count("*").alias("pieces"))
 
@@ -218,7 +196,10 @@ def r_sections(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("ord", F.col("row").cast("long").alias("row"), messages.big_endian(F.col("bytes"), 0, 2).alias("v"))
 
 
-@query(None)
+@query(f"""WITH RECURSIVE e AS (SELECT src, octets % 101 - 50 AS d, row_number() OVER (PARTITION BY src ORDER BY ord) AS n FROM ({FLOW_EVENTS})),
+  f AS (SELECT src, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS place, CAST(0 AS BIGINT) AS refused FROM e WHERE n = 1
+    UNION ALL SELECT f.src, e.n, CASE WHEN f.place + e.d BETWEEN 0 AND 4096 THEN f.place + e.d ELSE f.place END, CASE WHEN f.place + e.d BETWEEN 0 AND 4096 THEN f.refused ELSE f.refused + 1 END FROM f JOIN e ON e.src = f.src AND e.n = f.n + 1)
+  SELECT src, arg_max(place, n) AS "at", max(refused) AS refused FROM f GROUP BY src""")
 def r_seek(spark: SparkSession, d: str) -> DataFrame:
     e = flow_events(spark, d).withColumn("delta", F.col("octets") % 101 - 50)
     return reassembly.seek(e, ["src"], "delta", 4096, "ord")
@@ -237,5 +218,5 @@ def d_schema_registry(spark: SparkSession, d: str) -> DataFrame:
 
 @query(None)
 def r_record_store(spark: SparkSession, d: str) -> DataFrame:
-    e = flow_events(spark, d).select("dst", F.col("src").alias("key"), F.when(F.col("ord") % 3 == 0, "put").otherwise("get").alias("kind"), "ord")
-    return replay.store_outcomes(e, "dst", 32, 10**12, now="ord")
+    e = flow_events(spark, d).select(F.col("src").alias("owner"), F.col("dst").alias("key"), F.when(F.col("ord") % 3 == 0, "put").otherwise("get").alias("kind"), "ord")
+    return replay.store_outcomes(e, "owner", 5, 10**12, now="ord")

@@ -28,14 +28,22 @@ def table(headers: Sequence[str], rows: Sequence[Sequence[object]], right: Seque
 def flows(result: ResultSet) -> str:
     """The rows (which should have a limit), what they are of, and the aggregates."""
     rows = result.rows.select("flow_id", "src", "dst", "octets", "packets", "records").collect()
-    scanned, matched = result.counts.first()
+    found = result.totals.first()
     shown = table(["flow", "src", "dst", "octets", "packets", "records"], [(r[0], quad(r[1]), quad(r[2]), *r[3:]) for r in rows], right=(0, 3, 4, 5), widths=(10, 15, 15, 12, 10, 8))
-    totals = "".join(f"  {k} = {v}\n" for k, v in result.aggregates.first().asDict().items())
-    return f"{shown}\n{len(rows)} flow(s) shown of {matched} matched ({scanned} scanned)\n{totals}"
+    totals = "".join(f"  {k} = {v}\n" for k, v in ((k, found[k]) for k in result.labels))
+    return f"{shown}\n{len(rows)} flow(s) shown of {found.total_matched} matched ({found.scanned} scanned)\n{totals}"
 
 
 def flow_summary(df: DataFrame, n: int = 16) -> str:
-    """Means, percentiles and top sources of a flow table."""
+    """Means, percentiles and top sources of a flow table, which is computed once for all of them."""
+    df = df.persist()
+    try:
+        return _flow_summary(df, n)
+    finally:
+        df.unpersist()
+
+
+def _flow_summary(df: DataFrame, n: int) -> str:
     found = summary(df, n)
     seen = found["seen"].first()[0]
     marks = {name: {r.p: r.value for r in percentiles(found[name], [0.5, 0.9, 0.99]).collect()} for name in ("octets", "packets")}

@@ -1,32 +1,50 @@
 """Spark data sources for the binary containers. ``register(spark)`` makes the formats known.
 
-* ``flow_capture``: captures, streams or batches -> messages. Reads Hadoop paths through the session
-  by way of :func:`read_captures`; the Python source itself reads local paths, one partition a file.
-* ``flow_snapshot``: snapshots -> flows, and a writer of one snapshot a partition.
-* ``schema_catalog``: catalogs -> schemas.
+* ``flow_capture``: captures, streams or batches <-> messages.
+* ``flow_snapshot``: snapshots <-> flows, one snapshot a partition.
+* ``schema_catalog``: catalogs <-> schemas.
+
+Tasks open files by Arrow's file systems, so a path is one of this machine, of hdfs, s3 or gs, that driver
+and executors share; one file is one partition. Written files stand under a staging folder until the
+driver commits the job and moves those of the tasks that won into place. :func:`read_captures` and
+:func:`stream_captures` take any path that Spark itself can read.
 """
 
 from __future__ import annotations
 
-import glob
 import os
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, InputPartition, SimpleDataSourceStreamReader, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, InputPartition, WriterCommitMessage
 
 from ..types import CAPTURE_MAGIC, FLOWS, MESSAGES
 from . import framing
 from .messages import message_rows, parse_streams
 
 
+def _at(path: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else os.path.abspath(path))
+
+
 def _files(path: str) -> list[str]:
-    path = path.removeprefix("file://")
-    found = sorted(f for f in glob.glob(os.path.join(path, "**"), recursive=True) if os.path.isfile(f)) if os.path.isdir(path) else sorted(glob.glob(path))
-    return [f for f in found if not os.path.basename(f).startswith(("_", "."))]
+    """The file, or all files below the folder but hidden ones, as paths of its file system."""
+    system, at = _at(path)
+    info = system.get_file_info(at)
+    if info.type == fs.FileType.File:
+        return [at]
+    found = system.get_file_info(fs.FileSelector(at, recursive=True))
+    hidden = lambda p: any(part.startswith(("_", ".")) for part in p.removeprefix(at).split("/"))
+    return sorted(f.path for f in found if f.type == fs.FileType.File and not hidden(f.path))
+
+
+def _content(root: str, path: str) -> bytes:
+    with _at(root)[0].open_input_stream(path) as f:
+        return f.read()
 
 
 @dataclass
@@ -72,55 +90,58 @@ class CaptureReader(DataSourceReader):
         return [FilePartition(f) for f in _files(self.options["path"])]
 
     def read(self, partition: FilePartition) -> Iterator[tuple]:
-        with open(partition.path, "rb") as f:
-            data = f.read()
+        data = _content(self.options["path"], partition.path)
         for row in file_rows(partition.path, data, self.options.get("framing", "auto"), self.options.get("transport", "record"), self.options.get("strict", "false") == "true"):
             if self.names is None or row[6] in self.names:
                 yield row
 
 
-class CaptureStreamReader(SimpleDataSourceStreamReader):
-    """New files of a folder, by name, in order."""
-
-    def __init__(self, options: dict):
-        self.options = options
-
-    def initialOffset(self) -> dict:
-        return {"after": ""}
-
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        new = [f for f in _files(self.options["path"]) if f > start["after"]]
-        end = {"after": new[-1] if new else start["after"]}
-        return self.readBetweenOffsets(start, end), end
-
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        rows = []
-        for path in _files(self.options["path"]):
-            if start["after"] < path <= end["after"]:
-                with open(path, "rb") as f:
-                    rows += file_rows(path, f.read(), self.options.get("framing", "auto"), self.options.get("transport", "record"), False)
-        return iter(rows)
+@dataclass
+class Staged(WriterCommitMessage):
+    name: str
 
 
 class CaptureWriter(DataSourceWriter):
-    """Rows (ts, stream) -> one capture file a partition, renamed into place when whole."""
+    """Rows (ts, stream) -> one capture file a partition."""
 
-    def __init__(self, options: dict):
-        self.path = options["path"].removeprefix("file://")
+    suffix = "cap"
+
+    def __init__(self, options: dict, overwrite: bool = False):
+        self.path, self.overwrite = options["path"], overwrite
+        self.staging = f"_staging-{uuid.uuid4().hex}"
 
     def write(self, iterator: Iterator) -> WriterCommitMessage:
-        os.makedirs(self.path, exist_ok=True)
-        name = f"{self.path}/part-{uuid.uuid4().hex}.cap"
-        with open(f"{self.path}/.{os.path.basename(name)}", "wb") as f:
+        system, at = _at(self.path)
+        system.create_dir(f"{at}/{self.staging}")
+        name = f"part-{uuid.uuid4().hex}.{self.suffix}"
+        with system.open_output_stream(f"{at}/{self.staging}/{name}") as f:
             f.write(self.pack(iterator))
-        os.rename(f.name, name)
-        return WriterCommitMessage()
+        return Staged(name)
+
+    def commit(self, messages: list) -> None:
+        """What tasks that were run again, or twice, have left in the staging folder goes with it."""
+        system, at = _at(self.path)
+        old = _files(self.path) if self.overwrite and system.get_file_info(at).type == fs.FileType.Directory else []
+        system.create_dir(at)
+        for m in messages:
+            if m is not None:
+                system.move(f"{at}/{self.staging}/{m.name}", f"{at}/{m.name}")
+        for path in old:
+            system.delete_file(path)
+        self.abort(messages)
+
+    def abort(self, messages: list) -> None:
+        system, at = _at(self.path)
+        if system.get_file_info(f"{at}/{self.staging}").type == fs.FileType.Directory:
+            system.delete_dir(f"{at}/{self.staging}")
 
     def pack(self, rows: Iterator) -> bytes:
         return framing.capture((r[0], bytes(r[1])) for r in rows)
 
 
 class SnapshotWriter(CaptureWriter):
+    suffix = "snap"
+
     def pack(self, rows: Iterator) -> bytes:
         return framing.snapshot(tuple(r[c] or 0 for c in framing.SNAPSHOT_COLUMNS) for r in rows)
 
@@ -136,11 +157,8 @@ class CaptureSource(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return CaptureReader(self.options)
 
-    def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:
-        return CaptureStreamReader(self.options)
-
     def writer(self, schema, overwrite: bool) -> DataSourceWriter:
-        return CaptureWriter(self.options)
+        return CaptureWriter(self.options, overwrite)
 
 
 class SnapshotReader(CaptureReader):
@@ -148,8 +166,7 @@ class SnapshotReader(CaptureReader):
         yield from filters
 
     def read(self, partition: FilePartition) -> Iterator[tuple]:
-        with open(partition.path, "rb") as f:
-            yield from framing.parse_snapshot(f.read())
+        yield from framing.parse_snapshot(_content(self.options["path"], partition.path))
 
 
 class SnapshotSource(DataSource):
@@ -164,13 +181,21 @@ class SnapshotSource(DataSource):
         return SnapshotReader(self.options)
 
     def writer(self, schema, overwrite: bool) -> DataSourceWriter:
-        return SnapshotWriter(self.options)
+        return SnapshotWriter(self.options, overwrite)
 
 
 class CatalogReader(SnapshotReader):
     def read(self, partition: FilePartition) -> Iterator[tuple]:
-        with open(partition.path, "rb") as f:
-            yield from framing.parse_catalog(f.read())
+        yield from framing.parse_catalog(_content(self.options["path"], partition.path))
+
+
+class CatalogWriter(CaptureWriter):
+    """Rows (schema_id, version, fields) -> one catalog a partition."""
+
+    suffix = "cat"
+
+    def pack(self, rows: Iterator) -> bytes:
+        return framing.catalog((r[0], r[1], [tuple(f) for f in r[2] or ()]) for r in rows)
 
 
 class CatalogSource(DataSource):
@@ -184,6 +209,9 @@ class CatalogSource(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return CatalogReader(self.options)
 
+    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
+        return CatalogWriter(self.options, overwrite)
+
 
 def register(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
@@ -191,23 +219,39 @@ def register(spark: SparkSession) -> None:
         spark.dataSource.register(source)
 
 
-def read_captures(spark: SparkSession, path: str, framing_name: str = "auto", strict: bool = False) -> DataFrame:
-    """Messages of files on any path that Spark can read, by its own binary reader."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+def read_captures(spark: SparkSession, path: str, framing_name: str = "auto", strict: bool = False, transport: str = "record") -> DataFrame:
+    """Messages of files on any path that Spark can read, by its own binary reader.
+
+    The i-th stream of a file has transport i; with ``transport="file"`` a file's streams share a session,
+    numbered by the hash of its path.
+    """
+    return messages_of(spark.read.format("binaryFile").load(path), framing_name, strict, transport)
+
+
+def stream_captures(spark: SparkSession, path: str, framing_name: str = "auto", strict: bool = False, transport: str = "record", **options: str) -> DataFrame:
+    """The same for files as they come. Spark's file stream lists them, keeps the log of those it has seen in
+    the query's checkpoint, whatever their names, and reads them in tasks."""
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    return messages_of(spark.readStream.format("binaryFile").schema(schema).options(**options).load(path), framing_name, strict, transport)
+
+
+def messages_of(files: DataFrame, framing_name: str = "auto", strict: bool = False, transport: str = "record") -> DataFrame:
+    """Messages of containers that any reader has brought in as ``path, content``."""
 
     def streams(batches):
         import pyarrow as pa
 
         for batch in batches:
-            for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for name, number, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 try:
-                    found = [(f"{name}#{i}", i, ts, raw) for i, (ts, raw) in enumerate(streams_of(data, framing_name), 1)]
+                    found = [(f"{name}#{i}", i if transport == "record" else number, ts, raw) for i, (ts, raw) in enumerate(streams_of(data, framing_name), 1)]
                 except framing.FramingError:
                     found = [(name, None, None, None)]  # becomes an error row
                 columns = list(zip(*found, strict=True)) or [(), (), (), ()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["stream_id", "transport_id", "capture_ts_ms", "data"])
 
-    return parse_streams(files.mapInArrow(streams, "stream_id string, transport_id long, capture_ts_ms long, data binary"), strict)
+    rows = files.select("path", F.xxhash64("path").alias("number"), "content")
+    return parse_streams(rows.mapInArrow(streams, "stream_id string, transport_id long, capture_ts_ms long, data binary"), strict)
 
 
 def encode_snapshot(flows: DataFrame) -> DataFrame:

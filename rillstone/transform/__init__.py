@@ -181,11 +181,14 @@ def render_trace(steps: list[Step]) -> str:
 
 
 def to_column(code: bytes, inputs: dict[int, Column]) -> Column | None:
-    """A native expression of a program without jumps; None if it has any. Errors raise here."""
+    """A native expression of a program without jumps; None if it has any. Errors raise here.
+
+    A null input reads as 0, as a register without an input does.
+    """
     stack: list[Column] = []
-    registers = {r: c.cast("long") for r, c in inputs.items()}
-    at = 0
     zero = F.lit(0).cast("long")
+    registers = {r: F.coalesce(c.cast("long"), zero) for r, c in inputs.items()}
+    at = 0
     while at < len(code):
         name, kind = BY_CODE.get(code[at], ("", ""))
         raw = code[at + 1 : at + 1 + SIZES[kind]]
@@ -220,7 +223,7 @@ def to_column(code: bytes, inputs: dict[int, Column]) -> Column | None:
 def transform(df: DataFrame, code: bytes, inputs: dict[int, str], output: str = "result") -> DataFrame:
     """``df`` with the program's result: native where it has no jumps, else by Arrow batches.
 
-    A program that goes wrong on a row gives null there.
+    A program that goes wrong on a row gives null there; a null input reads as 0 on either way.
     """
     native = to_column(code, {r: F.col(c) for r, c in inputs.items()})
     if native is not None:

@@ -84,7 +84,8 @@ def test_data_sources(spark, tmp_path):
     assert datasources.decode_snapshots(datasources.encode_snapshot(flows.coalesce(1))).collect() == flows.collect()
     (tmp_path / "cat").write_bytes(framing.catalog([(7, 2, [(1, "u32", 0, "src")])]))
     assert spark.read.format("schema_catalog").load(str(tmp_path / "cat")).first().fields[0].name == "src"
-    query = spark.readStream.format("flow_capture").load(str(tmp_path / "in")).writeStream.format("memory").queryName("captured").trigger(availableNow=True).start()
+    (tmp_path / "in/.hidden").write_bytes(b"no capture")
+    query = datasources.stream_captures(spark, str(tmp_path / "in")).writeStream.format("memory").queryName("captured").trigger(availableNow=True).start()
     query.awaitTermination(60)
     assert spark.table("captured").count() == 9
 
@@ -210,7 +211,7 @@ def test_reassembly(spark):
 
 def test_admitted_over_the_limits(spark, sf):
     """The sequential definition over documents of every length, of which some are refused pieces."""
-    from rillstone.queries.wire_queries import fragments, r_admitted_all
+    from rillstone.queries.wire_queries import fragments, r_admitted
 
     arrived = {}
     for r in fragments(spark, sf).select("doc_id", "ord", F.length("data").alias("n")).collect():
@@ -222,7 +223,7 @@ def test_admitted_over_the_limits(spark, sf):
             if count < reassembly.MAX_FRAGMENTS and size + n <= 4 * reassembly.WINDOW_SIZE:
                 size, count = size + n, count + 1
         expected[i] = count
-    assert {r.doc_id: r.pieces for r in r_admitted_all(spark, sf).collect()} == expected
+    assert {r.doc_id: r.pieces for r in r_admitted(spark, sf).collect()} == expected
     assert any(n < len(arrived[i]) for i, n in expected.items())
 
 
