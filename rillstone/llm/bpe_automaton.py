@@ -37,8 +37,9 @@ import numpy as np
 END_OF_WORD = "</w>"
 NEVER = np.int32(2**31 - 1)
 
-#: Words kept in a worker's memory; when full it is emptied, which costs time and changes no result.
-CACHE_WORDS = 800_000
+#: Words, and stretches between blanks, kept in a worker's memory; a full store is emptied, which costs
+#: time and changes no result.
+CACHE_WORDS, CACHE_STRETCHES = 400_000, 250_000
 
 #: Words whose paths are followed together; bounds the arrays in use.
 WORDS_AT_ONCE = 25_000
@@ -54,16 +55,23 @@ def byte_alphabet() -> list[str]:
 
 
 class HashTable:
-    """Open addressing from non-negative int64 keys to int32, looked up by whole arrays."""
+    """Open addressing from non-negative int64 keys to int32, looked up by whole arrays.
+
+    A table of marks, small enough for a processor's cache, tells most absent keys.
+    """
 
     MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+    MARK_BITS = 20
 
-    def __init__(self, keys: np.ndarray, values: np.ndarray, absent: int):
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
         bits = max(8, int(np.ceil(np.log2(max(len(keys), 1)))) + 2)
-        self.shift, self.mask, self.absent = np.uint64(64 - bits), (1 << bits) - 1, np.int32(absent)
+        self.mask, self.shift = (1 << bits) - 1, np.uint64(64 - bits)
         self.keys = np.full(1 << bits, -1, np.int64)
-        self.values = np.full(1 << bits, absent, np.int32)
-        slot, left = self._slot(keys), np.arange(len(keys))
+        self.values = np.zeros(1 << bits, np.int32)
+        self.marks = np.zeros(1 << self.MARK_BITS, bool)
+        mixed = self._mixed(keys)
+        self.marks[self._mark(mixed)] = True
+        slot, left = (mixed >> self.shift).astype(np.int64), np.arange(len(keys))
         while len(left):
             free = self.keys[slot[left]] == -1
             at, first = np.unique(slot[left[free]], return_index=True)
@@ -72,21 +80,25 @@ class HashTable:
             left = np.setdiff1d(left, won, assume_unique=True)
             slot[left] = (slot[left] + (self.keys[slot[left]] != keys[left])) & self.mask
 
-    def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys.astype(np.uint64) * self.MULTIPLIER) >> self.shift).astype(np.int64)
+    def _mixed(self, keys: np.ndarray) -> np.ndarray:
+        return keys.view(np.uint64) * self.MULTIPLIER
+
+    def _mark(self, mixed: np.ndarray) -> np.ndarray:
+        return (mixed >> np.uint64(64 - self.MARK_BITS)).view(np.int64)
 
-    def get(self, keys: np.ndarray) -> np.ndarray:
-        slot = self._slot(keys)
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(where, value): the places in ``keys`` of those that the table holds, ascending, and their values."""
+        mixed = self._mixed(keys)
+        at = np.flatnonzero(self.marks[self._mark(mixed)])
+        wanted, slot = keys[at], (mixed[at] >> self.shift).view(np.int64)
         found = self.keys[slot]
-        out = np.where(found == keys, self.values[slot], self.absent)
-        left = np.flatnonzero((found != keys) & (found != -1))
+        left = np.flatnonzero((found != wanted) & (found != -1))
         while len(left):
             slot[left] = (slot[left] + 1) & self.mask
-            found = self.keys[slot[left]]
-            hit = found == keys[left]
-            out[left[hit]] = self.values[slot[left[hit]]]
-            left = left[~hit & (found != -1)]
-        return out
+            found[left] = now = self.keys[slot[left]]
+            left = left[(now != wanted[left]) & (now != -1)]
+        hit = found == wanted
+        return at[hit], self.values[slot[hit]]
 
 
 class BpeAutomaton:
@@ -117,7 +129,7 @@ class BpeAutomaton:
             removed[u << 20 | v] = rank  # the state after u loses v; its parent is what it was before
             left[uv], right[uv], born[uv], symbols[uv] = u, v, rank, symbols[u] + symbols[v]
         self.length = np.array([len(s) for s in symbols], np.int32)
-        self.removed = HashTable(np.fromiter(removed, np.int64, len(removed)), np.fromiter(removed.values(), np.int32, len(removed)), NEVER)
+        self.removed = HashTable(np.fromiter(removed, np.int64, len(removed)), np.fromiter(removed.values(), np.int32, len(removed)))
         self.after, self.after_until = self._spine(right, born)
         self.arcs, self.arcs_until = self._spine(left, born)
         self._trie(symbols)
@@ -145,25 +157,44 @@ class BpeAutomaton:
             if sequence:
                 token_at[node] = i
         self.token_at = np.array(token_at, np.int32)
-        self.trie = HashTable(np.fromiter(nodes, np.int64, len(nodes)), np.fromiter(nodes.values(), np.int32, len(nodes)), -1)
+        self.trie = HashTable(np.fromiter(nodes, np.int64, len(nodes)), np.fromiter(nodes.values(), np.int32, len(nodes)))
+        # The first two symbols, numbered among the base symbols, lead to their node in one look-up.
+        base = sorted({*self.inner.tolist(), *self.final.tolist()})
+        self.base_number = np.zeros(self.n, np.int32)
+        self.base_number[base] = np.arange(len(base))
+        self.one = np.array([nodes[s] for s in base], np.int32)
+        first = {int(node): number for number, node in enumerate(self.one)}
+        self.two = np.full((len(base), len(base)), -1, np.int32)
+        for key, node in nodes.items():
+            parent = key >> 20
+            if parent in first:
+                self.two[first[parent], self.base_number[key & 0xFFFFF]] = node
 
     def has_arc(self, state: np.ndarray, token: np.ndarray) -> np.ndarray:
         """Whether the state entered by ``state`` has an arc ``token`` (arrays of ids)."""
         ok = np.ones(len(state), bool)
-        for j, (after, after_until) in enumerate(zip(self.after, self.after_until, strict=True)):
-            rows = np.flatnonzero(ok & (after[state] >= 0)) if j else np.arange(len(state))
-            if not len(rows):
-                break
-            w, w_until = after[state[rows]], after_until[state[rows]]
-            t = token[rows]
-            for k, (arcs, arcs_until) in enumerate(zip(self.arcs, self.arcs_until, strict=True)):
+        rows, w = np.arange(len(state)), state
+        for after_until, next_after in zip(self.after_until, [*self.after[1:], None], strict=True):
+            w_until = after_until[state[rows]]
+            some, v, t = rows, w, token[rows]
+            u = t
+            for k, arcs_until in enumerate(self.arcs_until):
                 if k:
-                    keep = np.flatnonzero(arcs[t] >= 0)
+                    u = self.arcs[k][t]
+                    keep = np.flatnonzero(u >= 0)
                     if not len(keep):
                         break
-                    rows, w, w_until, t = rows[keep], w[keep], w_until[keep], t[keep]
-                rank = self.removed.get(w.astype(np.int64) << 20 | arcs[t])
-                ok[rows[(rank < w_until) & (rank <= arcs_until[t]) & (rank < NEVER)]] = False
+                    some, v, w_until, t, u = some[keep], v[keep], w_until[keep], t[keep], u[keep]
+                at, rank = self.removed.find(v.astype(np.int64) << 20 | u)
+                lost = at[(rank < w_until[at]) & (rank <= arcs_until[t[at]])]
+                ok[some[lost]] = False
+            if next_after is None:
+                break
+            w = next_after[state[rows]]
+            keep = np.flatnonzero((w >= 0) & ok[rows])
+            if not len(keep):
+                break
+            rows, w = rows[keep], w[keep]
         return ok
 
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -177,21 +208,26 @@ class BpeAutomaton:
         symbols = self.inner[flat]
         symbols[ends[filled] - 1] = self.final[flat[ends[filled] - 1]]
         n = len(flat)
-        limit = np.repeat(ends, sizes)
-        place = np.arange(n) - np.repeat(starts, sizes)
-        at, node, found = np.arange(n), np.zeros(n, np.int64), []
-        depth = 0
-        while len(at):  # every token that starts at every position
-            node = self.trie.get(node << 20 | symbols[at + depth]).astype(np.int64)
-            keep = node >= 0
-            at, node = at[keep], node[keep]
-            depth += 1
+        narrow = np.uint16 if sizes.max(initial=0) < 1 << 16 else np.int64
+        place = (np.arange(n) - np.repeat(starts, sizes)).astype(narrow)
+        room = np.repeat(ends, sizes) - np.arange(n)
+        number = self.base_number[symbols]
+        found = [(np.arange(n), self.token_at[self.one[number]])]  # every token that starts at every position
+        at = np.flatnonzero(room > 1)
+        node = self.two[number[at], number[at + 1]]
+        keep = np.flatnonzero(node >= 0)
+        at, node = at[keep], node[keep].astype(np.int64)
+        depth = 2
+        while len(at):
             token = self.token_at[node]
-            is_token = token >= 0
+            is_token = np.flatnonzero(token >= 0)
             found.append((at[is_token], token[is_token]))
-            keep = at + depth < limit[at]
+            keep = np.flatnonzero(room[at] > depth)
             at, node = at[keep], node[keep]
-        at, token = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int32))
+            where, node = self.trie.find(node << 20 | symbols[at + depth])
+            at, node = at[where], node.astype(np.int64)
+            depth += 1
+        at, token = (np.concatenate(x) for x in zip(*found, strict=True))
         order = np.argsort(place[at], kind="stable")
         at, token = at[order], token[order]
         ending = np.full(n, -1, np.int32)  # the token that ends at each position on its prefix's path
@@ -227,9 +263,9 @@ def _letters(kind: str) -> str:
 class WordBpeCodec:
     """Encodes and decodes whole texts with a lower-casing word-level tokenizer file.
 
-    Texts of Latin letters, where lower case and character classes are beyond doubt, take the
-    automaton; a text with any other character, or with a special token's string, is split and
-    encoded by the tokenizers library, word for word the same.
+    All words take the automaton. Texts of Latin letters, where lower case and character classes are
+    beyond doubt, are split here; the tokenizers library's own normalizer and pattern, as the file
+    names them, split a text that has any other character.
     """
 
     PLAIN = re.compile("[\\t\\n\\r -~¡-įı-ɏ‐-‧€]*")
@@ -237,11 +273,14 @@ class WordBpeCodec:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.path = path
+        self.path, self.pattern = path, spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.automaton = BpeAutomaton(spec["model"]["vocab"], [tuple(m) for m in spec["model"]["merges"]])
         if max((t["id"] for t in spec["added_tokens"]), default=0) >= 1 << 16:
             raise ValueError("ids are kept in 16 bits")
-        self.special = [t["content"] for t in spec["added_tokens"]]
+        if any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"]):
+            raise ValueError("special tokens are found as they are written")
+        self.special = {t["content"]: np.uint16(t["id"]).tobytes() for t in spec["added_tokens"]}
+        self.at_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")").split
         if not all("<|" in s for s in self.special):
             raise ValueError("special tokens are told by <|")
         self.labels = list(self.automaton.labels)
@@ -252,42 +291,56 @@ class WordBpeCodec:
         letter, number = _letters("L"), _letters("N")
         # The file's pattern; the alternatives that start with a letter, the usual ones, come first.
         self.split = re.compile(rf"[{letter}]+|[{number}]|'(?:s|t|re|ve|m|ll|d)|[^\s{letter}{number}]+").findall
-        self.known: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.stretches: dict[str, bytes] = {}
 
     def is_plain(self, text: str) -> bool:
         return self.PLAIN.fullmatch(text) is not None and not ("<|" in text and any(s in text for s in self.special))
 
     @property
-    def library(self):
-        if not hasattr(self, "_library"):
-            from tokenizers import Tokenizer
-
-            self._library = Tokenizer.from_file(self.path)
-            self._library.no_truncation()
-            self._library.no_padding()
-        return self._library
+    def splitter(self):
+        if not hasattr(self, "_splitter"):
+            from tokenizers import Regex, Tokenizer, pre_tokenizers
+
+            normalize = Tokenizer.from_file(self.path).normalizer.normalize_str
+            split = pre_tokenizers.Split(Regex(self.pattern), behavior="removed", invert=True).pre_tokenize_str
+            self._splitter = lambda text: [w for w, _ in split(normalize(text))]
+        return self._splitter
+
+    def _learn(self, fresh: set[str], every: set[str]) -> None:
+        """Have the ids of all words ``every`` in store, of which ``fresh`` are missing."""
+        if len(self.words) + len(fresh) > CACHE_WORDS:
+            self.words.clear()
+            fresh = every
+        listed = list(fresh)
+        for i in range(0, len(listed), WORDS_AT_ONCE):
+            some = listed[i : i + WORDS_AT_ONCE]
+            ids, bound = self.automaton.encode_words(some)
+            raw, end = ids.astype(np.uint16).tobytes(), (2 * bound).tolist()
+            self.words.update(zip(some, (raw[a:b] for a, b in zip([0, *end], end, strict=False)), strict=True))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, without added special tokens."""
-        words = [self.split(t.lower()) if self.is_plain(t) else None for t in texts]
-        every = set().union(*filter(None, words))
-        fresh = every.difference(self.known)
-        if fresh:
-            if len(self.known) + len(fresh) > CACHE_WORDS:
-                self.known.clear()
-                fresh = every
-            listed = list(fresh)
-            for i in range(0, len(listed), WORDS_AT_ONCE):
-                some = listed[i : i + WORDS_AT_ONCE]
-                ids, bound = self.automaton.encode_words(some)
-                raw, end = ids.astype(np.uint16).tobytes(), (2 * bound).tolist()
-                self.known.update(zip(some, (raw[a:b] for a, b in zip([0, *end], end, strict=False)), strict=True))
-        get, out = self.known.__getitem__, []
-        for text, ws in zip(texts, words, strict=True):
-            if ws is None:
-                out.append(np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint16))
+        plain = [t.lower().split() if self.is_plain(t) else None for t in texts]
+        others = {i: [p if k % 2 else self.splitter(p) for k, p in enumerate(self.at_special(texts[i]))] for i, p in enumerate(plain) if p is None}
+        every = set().union(*filter(None, plain))
+        fresh = every.difference(self.stretches)
+        if len(self.stretches) + len(fresh) > CACHE_STRETCHES:
+            self.stretches.clear()
+            fresh = every
+        cut = [(s, (s,) if s.isalpha() else self.split(s)) for s in fresh]
+        needed = set().union(*(w for _, w in cut), *(p for parts in others.values() for p in parts[::2]))
+        if missing := needed.difference(self.words):
+            self._learn(missing, needed)
+        get = self.words.__getitem__
+        self.stretches.update((s, get(w[0]) if len(w) == 1 else b"".join(map(get, w))) for s, w in cut)
+        known, out = self.stretches.__getitem__, []
+        for i, stretches in enumerate(plain):
+            if stretches is None:
+                raw = b"".join(self.special[p] if k % 2 else b"".join(map(get, p)) for k, p in enumerate(others[i]))
             else:
-                out.append(np.frombuffer(b"".join(map(get, ws)), np.uint16))
+                raw = b"".join(map(known, stretches))
+            out.append(np.frombuffer(raw, np.uint16))
         return out
 
     def decode(self, ids: np.ndarray) -> str:

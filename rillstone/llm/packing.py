@@ -1,20 +1,21 @@
 """Operator 1: harmonic packing of documents into sequences of a fixed capacity.
 
-Lengths fall into classes by the reciprocal of the capacity C: class k holds pieces of at most C/k
-tokens, and a bin of class k takes a fixed number of pieces. Pieces may be cut freely here, so a
-document is cut to lengths that are whole reciprocals: as many whole capacities as it has, then
-greedily the largest ``C // k`` that is left (3000 of 4096: 2048, 819, 132, 1). What remains after a
-cut at r is under r*r/C, so a document has three or four pieces besides its full sequences, and a
-full bin of class k wastes under min(k, C/k) tokens.
+Lengths fall into classes by the reciprocal of the capacity C: class k holds lengths from C/(k + 1) to
+C/k, and a bin of class k takes k documents, a fixed number. That leaves a gap of under C/(k + 1).
+As documents may be cut, the document that comes next fills the gaps that are open; what it has left
+goes to the class of its length. So there is about one cut a bin, and most documents stay whole. A
+document of a capacity and more first gives whole sequences. Cutting leaves no piece, and no gap, of
+under ``LEAST`` tokens: shorter pieces are documents that are as short, and a smaller gap is padding.
 
 Every task fills its own bins, so nothing is shuffled and workers don't wait for each other. The
-bins that are open at the end of a task are emptied, and their pieces (under one bin a class) are
-packed first-fit by decreasing length; so a task leaves one sequence that isn't nearly full.
+bins that are open at the end of a task (under one a class) are emptied, and their pieces are packed
+first-fit by decreasing length; so a task leaves one sequence that isn't nearly full.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -29,60 +30,84 @@ from .tokenization import vocabulary
 CAPACITY = 4096
 END_ID = 2
 
+#: Tokens of the least piece that a cut makes, and of the least gap that is worth a cut.
+LEAST = 32
+
 #: Sequences a task may number; the task's partition number stands above these bits.
 TASK_BITS = 36
 
 
-def cuts(n: int, capacity: int = CAPACITY) -> list[int]:
-    """The lengths of a document's pieces, in text order."""
-    out = [capacity] * (n // capacity)
-    rest = n % capacity
-    while rest:
-        piece = capacity // -(-capacity // rest)
-        out.append(piece)
-        rest -= piece
-    return out
+class Placed(NamedTuple):
+    """A piece's place: tokens ``start`` to ``start + length`` of ``document`` stand at ``offset``."""
+
+    sequence: int
+    offset: int
+    document: object
+    start: int
+    length: int
 
 
 class HarmonicPacker:
-    """Places pieces, given in any order, into bins; one object for each worker."""
+    """Places documents, given in any order, into bins; one object for each worker."""
 
-    def __init__(self, capacity: int = CAPACITY, first: int = 0):
-        self.capacity, self.next = capacity, first
-        self.open: dict[int, list] = {}
+    def __init__(self, capacity: int = CAPACITY, first: int = 0, least: int = LEAST):
+        self.capacity, self.next, self.least = capacity, first, least
+        self.open: dict[int, list] = {}  # class -> (document, start, length)
+        self.gaps: list[list[int]] = []  # sequence, tokens in it
 
     def _number(self) -> int:
         self.next += 1
         return self.next - 1
 
-    def add(self, length: int, piece) -> list[tuple[int, int, object]]:
-        """(sequence, offset, piece) of the bin that this piece fills; else nothing yet."""
-        per_bin = self.capacity // length
-        held = self.open.setdefault(length, [])
-        held.append(piece)
-        if len(held) < per_bin:
-            return []
-        del self.open[length]
-        sequence = self._number()
-        return [(sequence, i * length, p) for i, p in enumerate(held)]
-
-    def finish(self) -> list[tuple[int, int, object]]:
+    def add(self, document, length: int) -> list[Placed]:
+        """What this document of ``length`` tokens settles: full capacities, gaps, a bin that it fills."""
+        start, out = 0, []
+        while length - start >= self.capacity:
+            after = length - start - self.capacity
+            take = self.capacity - (max(0, self.least - after) if after else 0)
+            out.append(Placed(self._number(), 0, document, start, take))
+            start += take
+        while self.gaps and start < length:
+            sequence, used = self.gaps[-1]
+            room, rest = self.capacity - used, length - start
+            take = rest if rest <= room else min(room, rest - self.least)
+            if take < min(self.least, rest):
+                break
+            out.append(Placed(sequence, used, document, start, take))
+            start += take
+            self.gaps.pop()
+            if room - take >= self.least:
+                self.gaps.append([sequence, used + take])
+        if start < length:
+            per_bin = self.capacity // (length - start)
+            held = self.open.setdefault(per_bin, [])
+            held.append((document, start, length - start))
+            if len(held) == per_bin:
+                del self.open[per_bin]
+                sequence, used = self._number(), 0
+                for piece in held:
+                    out.append(Placed(sequence, used, *piece))
+                    used += piece[2]
+                if self.capacity - used >= self.least:
+                    self.gaps.append([sequence, used])
+        return out
+
+    def finish(self) -> list[Placed]:
         """Place what is left, longest pieces first, each into the first bin with room."""
-        bins: list[list[int]] = []  # sequence, tokens so far
-        out = []
-        for length, held in sorted(self.open.items(), reverse=True):
-            at = 0
-            for b in bins:
-                while at < len(held) and b[1] + length <= self.capacity:
-                    out.append((b[0], b[1], held[at]))
-                    b[1] += length
-                    at += 1
-            for piece in held[at:]:
-                if not bins or bins[-1][1] + length > self.capacity:
-                    bins.append([self._number(), 0])
-                out.append((bins[-1][0], bins[-1][1], piece))
-                bins[-1][1] += length
-        self.open = {}
+        bins, out = self.gaps, []
+        # Bins that have no room for the shortest piece any more are passed over for good.
+        held = sorted((piece for pieces in self.open.values() for piece in pieces), key=lambda p: -p[2])
+        shortest = held[-1][2] if held else 0
+        for piece in held:
+            b = next((b for b in bins if b[1] + piece[2] <= self.capacity), None)
+            if b is None:
+                b = [self._number(), 0]
+                bins.append(b)
+            out.append(Placed(b[0], b[1], *piece))
+            b[1] += piece[2]
+            if b[1] + shortest > self.capacity:
+                bins.remove(b)
+        self.open, self.gaps = {}, []
         return out
 
 
@@ -100,24 +125,22 @@ def pack_documents(df: DataFrame, path: str, capacity: int = CAPACITY, end_id: i
     schema = schema.add("tokens", "binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = codec(path)
+        bpe, end = codec(path), np.uint32(end_id).astype("<u4").tobytes()
         packer = HarmonicPacker(capacity, TaskContext.get().partitionId() << TASK_BITS)
         kind = None
 
         def rows(placed: list) -> pa.RecordBatch:
-            columns = list(zip(*((p[0], p[1], p[2], p[3], s, o, p[4]) for s, o, p in placed), strict=True))
-            arrays = [pa.array(columns[0], kind), *(pa.array(c, pa.int64()) for c in columns[1:6]), pa.array(columns[6], pa.binary())]
-            return pa.RecordBatch.from_arrays(arrays, schema.names)
+            sequence, offset, document, start, length = zip(*placed, strict=True)
+            numbers = [start, length, [len(raw) // 4 for _, raw in document], sequence, offset]
+            tokens = [raw[4 * a : 4 * (a + n)] for (_, raw), a, n in zip(document, start, length, strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array([d[0] for d in document], kind), *(pa.array(c, pa.int64()) for c in numbers), pa.array(tokens, pa.binary())], schema.names)
 
         for batch in chunks(batches, text="__text"):
             kind = batch.column(0).type
             placed: list = []
             for name, ids in zip(batch.column(0).to_pylist(), bpe.encode(texts_of(batch, "__text")), strict=True):
-                raw = np.append(ids.astype("<u4"), np.array([end_id], "<u4")).tobytes()
-                start = 0
-                for length in cuts(len(raw) // 4, capacity):
-                    placed += packer.add(length, (name, start, length, len(raw) // 4, raw[4 * start : 4 * (start + length)]))
-                    start += length
+                raw = ids.astype("<u4").tobytes() + end
+                placed += packer.add((name, raw), len(raw) // 4)
             if placed:
                 yield rows(placed)
         if placed := packer.finish():

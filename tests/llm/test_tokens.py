@@ -1,8 +1,10 @@
 """Operators 1, 7 and 10 against the tokenizers library."""
 
 import hashlib
+import random
 import zlib
 from collections import defaultdict
+from itertools import product
 
 import numpy as np
 import public_tokenizers
@@ -11,7 +13,7 @@ from compare import rows_of
 from tokenizers import Tokenizer
 
 from rillstone.llm import packing, token_counts, tokenization
-from rillstone.llm.bpe_automaton import BpeAutomaton, WordBpeCodec, codec
+from rillstone.llm.bpe_automaton import BpeAutomaton, WordBpeCodec, byte_alphabet, codec
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -39,10 +41,6 @@ def test_random_words(library):
 
 def test_automaton_is_the_merge_rule():
     """All words up to six letters over a small merge list, against merging by hand."""
-    from itertools import product
-
-    from rillstone.llm.bpe_automaton import byte_alphabet
-
     names = byte_alphabet()
     vocab = {c + s: i for i, (s, c) in enumerate(product(("", "</w>"), names))}
     merges = []
@@ -61,8 +59,62 @@ def test_automaton_is_the_merge_rule():
         assert [machine.labels[t] for t in ids[lo:hi]] == parts, word
 
 
+def small_automaton(rng, n):
+    """A random merge list over a few letters: (machine, merges)."""
+    names = byte_alphabet()
+    vocab = {c + s: i for i, (s, c) in enumerate(product(("", "</w>"), names))}
+    tokens, merges = ["a", "b", "c", "a</w>", "b</w>"], []
+    while len(merges) < n:
+        u, v = (t for t in rng.sample(tokens, 2))
+        if rng.random() < 0.2:
+            v = u
+        if not u.endswith("</w>") and u + v not in vocab and len(u + v) < 24:
+            merges.append((u, v))
+            vocab[u + v] = len(vocab)
+            tokens.append(u + v)
+    return BpeAutomaton(vocab, merges), merges, vocab
+
+
+def test_arcs_are_those_of_the_gadget_construction():
+    """has_arc for every state and token against an automaton whose states and arcs are spelled out."""
+    rng = random.Random(4)
+    for _ in range(12):
+        machine, merges, vocab = small_automaton(rng, 14)
+        states = [{vocab[c + s]: 0 for c in "abc" for s in ("", "</w>")}]
+        for a, b in merges:
+            u, v, uv = vocab[a], vocab[b], vocab[a + b]
+            q = next((arcs[u] for arcs in states if u in arcs), None)
+            if q is None or v not in states[q]:
+                continue
+            into = states[q][v]
+            states.append({t: s for t, s in states[q].items() if t != v})
+            for arcs in states:
+                if u in arcs:
+                    arcs[u] = len(states) - 1
+                    arcs[uv] = into
+        tokens = sorted({t for arcs in states for t in arcs})
+        entered = {t: arcs[t] for arcs in states for t in arcs}
+        pairs = [(s, t) for s in tokens for t in tokens if not machine.labels[s].endswith("</w>")]
+        found = machine.has_arc(*(np.array(x, np.int32) for x in zip(*pairs, strict=True)))
+        assert found.tolist() == [t in states[entered[s]] for s, t in pairs]
+
+
+def test_every_script_takes_the_automaton(library, monkeypatch):
+    """Greek, Cyrillic, Chinese, Korean, Thai, combining marks, ligatures, emoji, odd blanks, special strings."""
+    bpe = WordBpeCodec(PATH)
+    monkeypatch.setattr(bpe.automaton, "encode_words", lambda words, f=bpe.automaton.encode_words: (seen.extend(words), f(words))[1])
+    rng = random.Random(8)
+    parts = "Привет ΣΊΣΥΦΟΣ 中文字符 한국어 ภาษาไทย e\u0301 n\u0303o \ufb01n \U0001f600\U0001f3fd it's IT'S ½ ٣ 二 İstanbul ǅ ẞ <|endoftext|> <|startoftext|> <|end a\u2028b \xa0 \x1c \x85 \u200b \ufeff Don't 'LL x'll".split(" ")
+    texts = ["".join(rng.choice(parts) + rng.choice(["", " ", "\n", "\u3000"]) for _ in range(30)) for _ in range(200)]
+    for text in texts:
+        seen: list[str] = []
+        assert bpe.encode([text])[0].tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+    assert not hasattr(bpe, "library") and {"привет", "中文字符", "\u0301" if "\u0301" in bpe.words else "é"} & set(bpe.words)
+
+
 def test_cache_may_overflow(monkeypatch, library):
     monkeypatch.setattr("rillstone.llm.bpe_automaton.CACHE_WORDS", 3)
+    monkeypatch.setattr("rillstone.llm.bpe_automaton.CACHE_STRETCHES", 3)
     bpe = WordBpeCodec(PATH)
     for text in ("one two three four five", "five six", "seven one two", "a b c d e f g"):
         assert bpe.encode([text])[0].tolist() == library.encode(text, add_special_tokens=False).ids
@@ -140,13 +192,42 @@ def test_op1_query(spark, sf, library, documents):
     assert sum(p.length for p in found) == sum(map(len, ids.values()))
 
 
-def test_cuts_and_bins():
-    for n in [1, 2, 3, 4095, 4096, 4097, 12_345, *range(5, 4096, 97)]:
-        lengths = packing.cuts(n)
-        assert sum(lengths) == n and all(x == 4096 // (4096 // x) for x in lengths) and len(lengths) <= n // 4096 + 6
+@pytest.mark.parametrize("capacity", [64, 4096])
+def test_bins(capacity):
+    """Whole documents, fixed counts, few cuts, no short piece but short documents, little padding."""
+    rng = random.Random(capacity)
+    lengths = [1, 2, 31, 32, 33, capacity - 1, capacity, capacity + 1, 3 * capacity + 5] + [int(rng.paretovariate(0.8) * capacity / 60) + 1 for _ in range(4000)] + [1] * 100
+    rng.shuffle(lengths)
+    packer = packing.HarmonicPacker(capacity)
+    placed = [p for d, n in enumerate(lengths) for p in packer.add(d, n)]
+    placed += packer.finish()
+    pieces, bins = defaultdict(list), defaultdict(list)
+    for p in placed:
+        pieces[p.document].append((p.start, p.length))
+        bins[p.sequence].append((p.offset, p.length))
+    for d, n in enumerate(lengths):
+        at = 0
+        for start, length in sorted(pieces[d]):
+            assert start == at and length >= min(packing.LEAST, n)
+            at += length
+        assert at == n
+    for parts in bins.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= capacity
+    assert sorted(bins) == list(range(packer.next))
+    if capacity == 4096:
+        assert len(placed) < 1.3 * (len(lengths) + sum(n // capacity for n in lengths)) and sum(lengths) > 0.99 * capacity * (packer.next - 1)
+
+
+def test_a_bin_takes_a_fixed_count():
     packer = packing.HarmonicPacker()
-    placed = [x for i in range(7) for x in packer.add(1365, i)]
-    assert [p[1] for p in placed] == [0, 1365, 2730] * 2 and len(packer.finish()) == 1
+    placed = [p for d, n in enumerate([1365, 1300, 1365]) for p in packer.add(d, n)]
+    assert [(p.document, p.offset) for p in placed] == [(0, 0), (1, 1365), (2, 2665)]
+    assert packer.add(3, 2000) == [packing.Placed(0, 4030, 3, 0, 66)]  # the gap is filled by what comes next
+    assert packer.finish() == [packing.Placed(1, 0, 3, 66, 1934)]
 
 
 def test_op7(spark, odd, clashing, nothing, documents, tmp_path):
