@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -13,8 +9,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Folders of applications that name none; only for one machine, as in tests.
-OWN_DIRS: dict[str, str] = {}
+from ..scratch import materialize, new_folder, release, shared_dir  # noqa: F401
 
 #: Columns that a pipeline stage hands on.
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -31,42 +26,6 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in OWN_DIRS:
-        folder = tempfile.mkdtemp(prefix="rillstone-")
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        OWN_DIRS[app] = f"file://{folder}"
-    return OWN_DIRS[app]
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and return a reader of it.
-
-    Cuts the lineage and saves expensive work from being done once for each consumer; a lost
-    executor costs only the tasks that were running, as the files are in shared storage.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release(df: DataFrame) -> None:
-    """Delete the files of a materialized frame that nothing will read any more."""
-    spark = df.sparkSession
-    root = shared_dir(spark)
-    jvm = spark._jvm
-    for folder in {name.rpartition("/")[0] for name in df.inputFiles()}:
-        if "/" + root.rpartition("/")[2] + "/" in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", chars: int = CHUNK_CHARS) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that each holds about ``chars`` characters of text, one row at least."""
     for batch in batches:

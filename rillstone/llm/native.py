@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: White space as the contracts have it: blank, and tab to carriage return.
@@ -24,15 +24,10 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(text, SPACE), "")
 
 
-def windows(items: Column, width: int, short: int = 2) -> Column:
-    """Hashes of all windows of ``width`` words; of ``short`` words where there are under 4 * width.
+def computed(df: DataFrame, *columns: str) -> DataFrame:
+    """``df`` with these columns last, each computed once a row whatever follows.
 
-    Up to ``short`` words, or none, make one window.
+    A filter on a computed column would be moved before it, with the whole expression in it again; it
+    can't be moved before a generator.
     """
-    hashed = F.transform(items, lambda w: F.xxhash64(w))
-
-    def body(h: Column) -> Column:
-        many = lambda n: F.transform(F.sequence(F.lit(1), F.size(h) - n + 1), lambda i: F.xxhash64(F.slice(h, i, n)))
-        return F.when(F.size(h) >= 4 * width, many(width)).when(F.size(h) > short, many(short)).otherwise(F.array(F.xxhash64(h)))
-
-    return let(hashed, body)
+    return df.select(*[c for c in df.columns if c not in columns], F.inline(F.array(F.struct(*columns))))

@@ -141,7 +141,11 @@ def scan_secrets(df: DataFrame, key: str = "doc_id", text: str = "text", reach:
 
 
 def redact_secrets(df: DataFrame, text: str = "text", n_chars: str = "n_chars", reach: int = REACH) -> DataFrame:
-    """``df`` with secrets replaced by their kind; all rows stay, and texts without secrets as they are."""
+    """``df`` with secrets replaced by their kind; all rows and columns stay, and texts without secrets as they are.
+
+    ``n_chars`` is brought up to date where a text changes. Null and empty texts stay as they are;
+    repeated rows are redacted each; an empty table gives no rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, text):

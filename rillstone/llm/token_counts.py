@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import hashlib
 import os
-import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -17,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, documents, materialize, shared_dir, text_or_empty
+from .common import chunks, documents, materialize, new_folder, text_or_empty
 from .tokenization import vocabulary
 
 CACHE_SCHEMA = "digest binary, n_tokens long"
@@ -90,6 +89,6 @@ def count_tokens(df: DataFrame, path: str, cache: str, key: str = "doc_id", text
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract 7. The query's cache is its own and starts empty, so every run does all the work."""
-    cache = f"{shared_dir(spark)}/token-counts-{uuid.uuid4().hex}"
+    cache = new_folder(spark, "token-counts")
     counts = count_tokens(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), cache)
     return counts.withColumn("over_limit", F.col("n_tokens") > LIMIT)

@@ -1,16 +1,20 @@
 from types import SimpleNamespace
 
 import pyarrow as pa
+import pytest
 
 from rillstone.llm import common
 
 
-def session(folder):
-    return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: folder or default), sparkContext=SimpleNamespace(applicationId="app-of-a-test"))
+def session(folder, master="local[4]"):
+    return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: folder or default), sparkContext=SimpleNamespace(applicationId="app-of-a-test", master=master))
 
 
 def test_shared_folder():
     assert common.shared_dir(session("hdfs://x/y/")) == "hdfs://x/y"
+    assert common.shared_dir(session("hdfs://x/y", "yarn")) == "hdfs://x/y"
+    with pytest.raises(ValueError):
+        common.shared_dir(session(None, "spark://host:7077"))
     own = common.shared_dir(session(None))
     assert own.startswith("file:///") and common.shared_dir(session(None)) == own
 
