@@ -1,14 +1,15 @@
 """Operator 5: Order MinHash fingerprints, in built-in functions only.
 
-A text's items are its k-mers of words, each with its occurrence number, so a k-mer that comes twice
-is two items. Every item has one hash on a ring; component j of a fingerprint looks from the j-th of
-m equally spaced places on the ring and selects the ``picks`` items that come next, which are the
-minimal ones under the hash turned by that place. The selected items are put back in text order and
-their tuple is hashed, so moving text about changes components that a set-based MinHash keeps.
-(G. Marcais et al., "Locality-sensitive hashing for the edit distance".)
-
-One sort serves all components: the places are sorted in with the items. An item is a long with 36
-bits of hash above 28 bits of position, so it sorts without a structure around it.
+A text's items are its k-mers of words, one from each word on (the last ones are shorter), each with its
+occurrence number, so a k-mer that comes twice is two items. A component of a fingerprint selects the two
+minimal items under a hash order of its own, puts them back in text order and hashes the pair, so moving
+text about changes components that a set-based MinHash keeps. (G. Marcais et al., "Locality-sensitive
+hashing for the edit distance".)
+
+Orders are turns of a few independent ones (one-permutation hashing): a *ring* holds all items by one
+hash, and each of its equally spaced *places* selects the next two items. One sort a ring serves all its
+places: they are sorted in with the items. An item is a long with 36 bits of hash above 28 bits of
+position, so it sorts without a structure around it.
 """
 
 from __future__ import annotations
@@ -16,61 +17,78 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, materialize, text_or_empty
-from .native import let, windows, words
+from .common import documents, materialize, release, text_or_empty
+from .native import let, words
 
-K, COMPONENTS, PICKS = 5, 64, 2
+K, RINGS, PLACES = 3, 4, 16
 POSITION_BITS = 28
 POSITION = (1 << POSITION_BITS) - 1
 
 
 def _item(hashed: Column, position: Column) -> Column:
-    """Positions count from 1, so no item ends in zero bits only."""
-    return hashed.bitwiseAND(F.lit(~POSITION)).bitwiseOR((position + 1).cast("long"))
+    return hashed.bitwiseAND(F.lit(~POSITION)).bitwiseOR(position)
 
 
-def _items(kmers: Column) -> Column:
-    """Items of the k-mers' hashes; occurrence numbers need a sort only where a k-mer repeats."""
+def _position(item: Column) -> Column:
+    """Positions count from 1, so that no item ends in zero bits only."""
+    return item.bitwiseAND(F.lit(POSITION))
 
-    def numbered(pairs: Column) -> Column:
-        new = lambda i: (i == 0) | (F.get(pairs, i - 1)["h"] != F.get(pairs, i)["h"])
-        starts = F.filter(F.sequence(F.lit(0), F.size(pairs) - 1), new)
 
-        def runs(at: Column) -> Column:
-            run = lambda a, j: F.slice(pairs, a + 1, F.coalesce(F.get(at, j + 1), F.size(pairs)) - a)
-            return F.flatten(F.transform(at, lambda a, j: F.transform(run(a, j), lambda x, n: _item(F.xxhash64(x["h"], n), x["p"]))))
+def _hash(item: Column) -> Column:
+    return F.shiftright(item, POSITION_BITS)
 
-        return let(starts, runs)
 
-    plain = lambda k: F.transform(k, lambda h, i: _item(F.xxhash64(h, F.lit(0)), i))
-    sorted_pairs = lambda k: F.sort_array(F.transform(k, lambda h, i: F.struct(h.alias("h"), i.alias("p"))))
-    return let(kmers, lambda k: F.when(F.size(F.array_distinct(k)) == F.size(k), plain(k)).otherwise(let(sorted_pairs(k), numbered)))
+def _kmers(items: Column, k: int) -> Column:
+    """The k-mers from each word on, as items by position; an empty text has one, of no words."""
+    many = F.size(items) >= POSITION
+    hashed = F.when(many, F.raise_error(F.lit(f"a text of {POSITION} words and more"))).otherwise(F.transform(items, lambda w: F.xxhash64(w)))
+    joined = lambda h: F.transform(h, lambda x, i: _item(F.xxhash64(x, *[F.get(h, i + n) for n in range(1, k)]), (i + 1).cast("long")))
+    return let(hashed, lambda h: F.when(F.size(h) > 0, joined(h)).otherwise(F.array(_item(F.xxhash64(F.lit("")), F.lit(1).cast("long")))))
 
 
-def fingerprint(text: Column, k: int = K, components: int = COMPONENTS, picks: int = PICKS) -> Column:
-    """An array of ``components`` ints.
+def _numbered(kmers: Column) -> Column:
+    """Items whose hash takes the occurrence number in, where that is not the first."""
+    sequence = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
 
-    A text of under 4 * k words has k-mers of two words, so that half of it still holds some; one or
-    two words are one k-mer, and so is an empty text.
-    """
-    step = (1 << 64) // components
-    places = F.array(*[F.lit(-(1 << 63) + j * step).cast("long") for j in range(components)])
+    def body(s: Column) -> Column:
+        fresh = lambda x, i: (i == 0) | (_hash(x) != _hash(F.get(s, i - 1)))
+        again = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: ~fresh(F.get(s, i), i))
+
+        def renamed(at: Column) -> Column:
+            # Places in ``at`` that follow on each other are the second, third ... of one k-mer.
+            starts = F.filter(sequence(F.size(at)), lambda j: (j == 0) | (F.get(at, j) != F.get(at, j - 1) + 1))
+            item = lambda i, n: _item(F.xxhash64(_hash(F.get(s, i)), n), _position(F.get(s, i)))
+            run = lambda first, j, all_starts: F.slice(at, first + 1, F.coalesce(F.get(all_starts, j + 1), F.size(at)) - first)
+            repeats = let(starts, lambda firsts: F.flatten(F.transform(firsts, lambda first, j: F.transform(run(first, j, firsts), lambda i, n: item(i, n + 1)))))
+            return F.when(F.size(at) == 0, s).otherwise(F.concat(F.filter(s, fresh), repeats))
+
+        return let(again, renamed)
+
+    return let(F.sort_array(kmers), body)
 
-    def select(ring: Column) -> Column:
-        is_place = lambda x: x.bitwiseAND(F.lit(POSITION)) == 0
-        at = F.filter(F.sequence(F.lit(0), F.size(ring) - 1), lambda i: is_place(F.get(ring, i)))
 
-        def tuples(items: Column) -> Column:
-            def component(place: Column, j: Column) -> Column:
-                chosen = [F.get(items, F.pmod(place - j + n, F.size(items))) for n in range(picks)]
-                ordered = F.sort_array(F.array(*[F.struct(c.bitwiseAND(F.lit(POSITION)).alias("p"), F.shiftright(c, POSITION_BITS).alias("v")) for c in chosen]))
-                return F.xxhash64(F.transform(ordered, lambda x: x["v"])).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
+def _components(items: Column, ring: int, places: int) -> Column:
+    """What each place of a ring selects."""
+    at_places = F.array(*[F.lit(-(1 << 63) + j * ((1 << 64) // places)).cast("long") for j in range(places)])
+    turned = F.transform(items, lambda x: _item(F.xxhash64(_hash(x), F.lit(ring)), _position(x)))
 
-            return F.transform(at, component)
+    def select(s: Column) -> Column:
+        at = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: _position(F.get(s, i)) == 0)
 
-        return let(F.filter(ring, lambda x: ~is_place(x)), tuples)
+        def chosen(own: Column) -> Column:
+            pair = lambda a, b: F.when(_position(a) <= _position(b), F.xxhash64(_hash(a), _hash(b))).otherwise(F.xxhash64(_hash(b), _hash(a)))
+            pick = lambda place, j, n: F.get(own, F.pmod(place - j + n, F.size(own)))
+            return F.transform(at, lambda place, j: pair(pick(place, j, 0), pick(place, j, 1)).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
 
-    return let(F.sort_array(F.concat(_items(windows(words(text), k)), places)), select)
+        return let(F.filter(s, lambda x: _position(x) != 0), chosen)
+
+    return let(F.sort_array(F.concat(turned, at_places)), select)
+
+
+def fingerprint(text: Column, k: int = K, rings: int = RINGS, places: int = PLACES) -> Column:
+    """An array of ``rings * places`` ints, whatever the text's length; k-mers of one ``k`` in all texts."""
+    items = _numbered(_kmers(words(text), k))
+    return let(items, lambda x: F.concat(*[_components(x, r, places) for r in range(rings)]))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -83,21 +101,23 @@ def as_text(signature: Column) -> Column:
 
 
 def successors(keys: DataFrame, order: list[str]) -> DataFrame:
-    """Distinct ``order`` columns -> these and ``next_*``, the following row's, the first's after the last.
+    """Rows that ``order`` tells apart, with ``next_*`` of these columns: the following row's, the first's after the last.
 
     Ranges are numbered by task and each finds its own successors; only the ranges' first rows, one
     for each task, meet in one place.
     """
-    ranged = materialize(keys.select(*order).repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "ranges")
+    ranged = materialize(keys.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "ranges")
     here = F.struct(*order)
     within = ranged.withColumn("__next", F.lead(here).over(Window.partitionBy("part").orderBy(*order)))
     firsts = ranged.groupBy("part").agg(F.min(here).alias("first"))
     every = Window.orderBy("part")
     whole = every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     firsts = firsts.select("part", F.coalesce(F.lead("first").over(every), F.first("first").over(whole)).alias("__after"))
-    joined = within.join(firsts, "part")
     following = F.coalesce("__next", "__after")
-    return joined.select(*order, *[following[c].alias(f"next_{c}") for c in order])
+    found = within.join(firsts, "part").select(*keys.columns, *[following[c].alias(f"next_{c}") for c in order])
+    out = materialize(found, "next")
+    release(ranged)
+    return out
 
 
 def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -110,28 +130,25 @@ def edited_fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text")
 
     The edited text has its last half replaced by the start of the next document's. A null key counts
     as the least; rows that share a key are ordered by their texts' hashes, and rows that agree in
-    both are one document. Null texts are empty; an empty table gives no rows; a lone document is its
-    own next; other columns are left out.
+    both are one document with equal results, of which every row is returned. Null texts are empty; an
+    empty table gives no rows; a lone document is its own next; other columns are left out.
+
+    Every distinct text is shuffled once, and the starts of texts that edited texts need once more.
     """
-    lowest = F.lit(-(1 << 63)).cast("long")
+    lowest, order = F.lit(-(1 << 63)).cast("long"), ["id", "th"]
     rows = df.select(F.coalesce(F.col(key).cast("long"), lowest).alias("id"), text_or_empty(text).alias("t"))
     rows = rows.select("id", F.xxhash64("t").alias("th"), "t")
-    base = materialize(rows.select("id", "th", F.char_length("t").cast("long").alias("n_chars"), fingerprint(F.col("t")).alias("fp")), "fingerprints").dropDuplicates(["id", "th"])
-    base = base.select("id", "th", "n_chars", "fp")
-    order = ["id", "th"]
-    following = materialize(successors(base, order).join(base.select("id", "th", "n_chars"), order), "next")
+    own = materialize(rows.select(*order, F.char_length("t").cast("long").alias("n_chars"), fingerprint(F.col("t")).alias("fp")), "fingerprints")
+    following = successors(own.select(*order, "n_chars").distinct(), order)
     # The previous document of each: where its text's start is needed, and how much of it.
     before = following.select(F.col("next_id").alias("id"), F.col("next_th").alias("th"), F.col("id").alias("to_id"), F.col("th").alias("to_th"), F.expr("n_chars div 2").cast("int").alias("take"))
-    placed = rows.join(before, order)
-    n = F.char_length("t")
-    heads = placed.select("id", "th", F.substring("t", F.lit(1), n - F.expr("char_length(t) div 2").cast("int")).alias("head"))
-    tails = placed.select(F.col("to_id").alias("id"), F.col("to_th").alias("th"), F.substring("t", F.lit(1), F.col("take")).alias("tail"))
-    edited = heads.join(tails, order).select("id", "th", F.concat("head", "tail").alias("e"))
-    edited = edited.select("id", "th", F.sha2("e", 256).alias("edited_sha256"), fingerprint(F.col("e")).alias("edited_fp")).dropDuplicates(order)
-    next_fp = base.select(F.col("id").alias("next_id"), F.col("th").alias("next_th"), F.col("fp").alias("next_fp"))
-    links = following.select("id", "th", "next_id", "next_th").join(next_fp, ["next_id", "next_th"])
-    found = base.join(edited, order).join(links.select("id", "th", "next_fp"), order)
-    return found.select(F.when(F.col("id") != lowest, F.col("id")).alias(key), "n_chars", "edited_sha256", "fp", "edited_fp", "next_fp")
+    known = own.groupBy(*order).agg(F.any_value("fp").alias("fp"), F.any_value("n_chars").alias("n_chars"), F.count("*").cast("int").alias("copies"))
+    placed = rows.dropDuplicates(order).join(known.join(before, order), order)
+    tails = placed.select(F.col("to_id").alias("id"), F.col("to_th").alias("th"), F.substring("t", F.lit(1), F.col("take")).alias("tail"), F.col("fp").alias("next_fp"))
+    half = (F.col("n_chars") - F.expr("n_chars div 2")).cast("int")
+    edited = placed.join(tails, order).withColumn("e", F.concat(F.substring("t", F.lit(1), half), "tail"))
+    found = edited.select(F.when(F.col("id") != lowest, F.col("id")).alias(key), "n_chars", F.sha2("e", 256).alias("edited_sha256"), "fp", fingerprint(F.col("e")).alias("edited_fp"), "next_fp", "copies")
+    return found.withColumn("copies", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).drop("copies")
 
 
 def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
