@@ -1,9 +1,10 @@
 """Connected components of an edge table, by alternating large-star and small-star steps.
 
 Each step is a grouped minimum and a join (R. Kiveris et al., "Connected Components in MapReduce and
-Beyond"), so a node with very many neighbours is a skewed join, which adaptive execution splits, and
-never a list in one task. The edges are written to the shared folder after each round, which cuts
-the lineage; nothing but a count and a checksum reaches the driver.
+Beyond"). A node that very many edges touch is dealt out by a salt: its edges and partial minima go to
+``SALTS`` groups, and only these groups' minima, at most ``SALTS`` rows, meet by node. The edges are
+written to the shared folder after each round, which cuts the lineage; nothing but a count and a
+checksum reaches the driver.
 """
 
 from __future__ import annotations
@@ -14,16 +15,27 @@ from pyspark.sql import functions as F
 from .common import materialize, release
 
 
+#: Groups that the edges of one node are dealt out to.
+SALTS = 64
+
+
+def _with_least(edges: DataFrame) -> DataFrame:
+    """``u, v`` with ``m``, the least v of the same u."""
+    salted = edges.select("u", "v", F.pmod(F.xxhash64("v"), F.lit(SALTS)).alias("salt"))
+    groups = salted.groupBy("u", "salt").agg(F.min("v").alias("m"))
+    least = groups.groupBy("u").agg(F.min("m").alias("m"))
+    return salted.join(groups.select("u", "salt").join(least, "u"), ["u", "salt"])
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.min("v").alias("m"))
-    return both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
+    return _with_least(both).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Edges point from the larger node u to the smaller v."""
-    low = edges.groupBy("u").agg(F.min("v").alias("m"))
-    return edges.join(low, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
+    found = _with_least(edges)
+    return found.select(F.when(F.col("v") > F.col("m"), F.col("v")).otherwise(F.col("u")).alias("u"), F.col("m").alias("v"))
 
 
 def _state(edges: DataFrame) -> tuple:

@@ -1,22 +1,25 @@
 """Operator 8: SimHash near-duplicates by tiled exact comparison.
 
-Fingerprints are compared in tiles: numpy takes the exclusive-or of every fingerprint of one tile
-with every one of another and counts its bits. Which tiles meet is decided exactly, in two steps.
+Fingerprints are compared in tiles of a fixed size: numpy takes the exclusive-or of every fingerprint
+of one tile with every one of another and counts its bits. Which tiles meet is decided exactly.
 
 * Two fingerprints within ``radius`` bits agree on one of ``radius + 1`` blocks of bits at least, so
-  only fingerprints with an equal block share a *bucket*.
-* A bucket of up to ``tile`` fingerprints is one tile. A larger one is cut by population count, and a
-  population by hash, into tiles of about that size, and two of its tiles are compared unless their
-  population counts differ by more than the radius (as then any two fingerprints of theirs do).
+  only fingerprints with an equal block, a *bucket*, are compared. Buckets stand one after the other,
+  each sorted by population count, and are cut into tiles wherever a tile is full.
+* Two tiles that hold parts of one bucket are compared unless their population counts there differ by
+  more than the radius (as then any two fingerprints of theirs do).
+* A bucket of more than ``crowd`` fingerprints is shared among tasks: it is cut by population count,
+  and a population by hash, into crowds of about that size, and the same rule decides which meet.
 
 So a bucket that holds a third of all fingerprints is work for many tasks, none of which holds more
-than two tiles. Equal fingerprints are grouped before, and of the links within a tile only a
-spanning star is kept, so copies are never expanded into pairs.
+than two crowds. Equal fingerprints are grouped before, and of the links within a stretch of tiles only
+a spanning forest is kept, so copies are never expanded into pairs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +29,13 @@ from pyspark.sql import functions as F
 from .common import chunks, documents, materialize, text_or_empty
 from .components import components
 
-WIDTH, SEED, RADIUS, TILE = 3, 42, 3, 2048
+WIDTH, SEED, RADIUS = 3, 42, 3
 
-#: Runs up to this size are compared by shifting the sorted column, all runs at once.
-SHORT_RUN = 32
+#: Fingerprints of a tile, and the most of one bucket that one task takes.
+TILE, CROWD = 64, 2048
+
+#: Pairs of tiles whose bits are in memory at once.
+PAIRS_AT_ONCE = 256
 
 
 def fingerprints_of(texts: list[bytes], width: int = WIDTH) -> np.ndarray:
@@ -76,84 +82,102 @@ def simhash(df: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     return df.select(key, text_or_empty(text).alias("__text")).mapInArrow(run, schema)
 
 
-def star(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(member, centre) of each component of a square boolean matrix, centres left out."""
-    n = len(linked)
-    left = linked.any(axis=1)
-    members, centres = [], []
-    for i in range(n):
-        if not left[i]:
-            continue
-        seen = np.zeros(n, bool)
-        seen[i] = True
-        front = seen
-        while front.any():
-            new = linked[front].any(axis=0) & ~seen
-            seen = seen | new
-            front = new
-        left &= ~seen
-        seen[i] = False
-        at = np.flatnonzero(seen)
-        members.append(at)
-        centres.append(np.full(len(at), i))
-    if not members:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(members), np.concatenate(centres)
-
-
-def compare_tiles(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Star edges of the links within tile ``a``, or between ``a`` and ``b``."""
-    near = np.bitwise_count(a[:, None] ^ (a if b is None else b)[None, :]) <= radius
-    if b is None:
-        np.fill_diagonal(near, False)
-        x, y = star(near)
-        return a[x], a[y]
-    rows, cols = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
-    linked = np.zeros((len(rows) + len(cols),) * 2, bool)
-    linked[: len(rows), len(rows) :] = near[np.ix_(rows, cols)]
-    linked |= linked.T
-    both = np.concatenate([a[rows], b[cols]])
-    x, y = star(linked)
-    return both[x], both[y]
-
-
-def _compare_runs(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """Rows ``(run, side, fp)`` sorted by run -> edges ``(u, v)``."""
-    held = [np.zeros(0, np.int64), np.zeros(0, np.int8), np.zeros(0, np.uint64)]
-
-    def edges(run: np.ndarray, side: np.ndarray, fp: np.ndarray) -> pa.RecordBatch | None:
-        found = []
-        first = np.flatnonzero(np.r_[True, run[1:] != run[:-1]]) if len(run) else np.zeros(0, np.int64)
-        size = np.diff(np.r_[first, len(run)])
-        short = np.repeat(size <= SHORT_RUN, size)
-        run_s, fp_s = run[short], fp[short]
-        for lag in range(1, SHORT_RUN):
-            near = run_s[lag:] == run_s[:-lag]
-            if not near.any():
+class Runs(NamedTuple):
+    """Fingerprints sorted by ``(run, population count)``. Of a run, all with ``side`` 0 are compared with
+    each other; those with side 1 are compared with those with side 2."""
+
+    run: np.ndarray
+    side: np.ndarray
+    fp: np.ndarray
+
+    def cut(self, a: int, b: int | None = None) -> Runs:
+        return Runs(*(x[a:b] for x in self))
+
+
+class Links(NamedTuple):
+    """Places ``(a, b)`` of near fingerprints, and how many pairs of tiles were compared and skipped."""
+
+    a: np.ndarray
+    b: np.ndarray
+    compared: int
+    skipped: int
+
+
+def forest(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges between places below ``n`` -> (member, root) edges that join the same places."""
+    root = np.arange(n)
+    while True:
+        low = root.copy()
+        np.minimum.at(low, root[a], root[b])
+        np.minimum.at(low, root[b], root[a])
+        low = low[low[root]]
+        if (low == root).all():
+            break
+        root = low
+    member = np.flatnonzero(root != np.arange(n))
+    return member, root[member]
+
+
+def compare_tiles(runs: Runs, radius: int, tile: int = TILE) -> Links:
+    """The near pairs of sorted runs, tile by tile; a forest of them for each distance of tiles."""
+    n = len(runs.fp)
+    count = -(-n // tile)
+    first, last = np.arange(count) * tile, np.minimum(np.arange(1, count + 1) * tile, n) - 1
+    pop = np.bitwise_count(runs.fp).astype(np.int16)
+    pad = count * tile - n
+    shaped = [np.concatenate([x, np.zeros(pad, x.dtype)]).reshape(count, tile) for x in (runs.fp, runs.run, runs.side)]
+    real = (np.arange(count * tile) < n).reshape(count, tile)
+    out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    compared = skipped = apart = 0
+    while apart < count:
+        i = np.arange(count - apart)
+        if apart:  # a run that both hold is the last of the first tile and the first of the second
+            i = i[runs.run[last[i]] == runs.run[first[i + apart]]]
+            if not len(i):
                 break
-            at = np.flatnonzero(near)
-            at = at[np.bitwise_count(fp_s[at] ^ fp_s[at + lag]) <= radius]
-            found.append((fp_s[at + lag], fp_s[at]))
-        for at, n in zip(first[size > SHORT_RUN].tolist(), size[size > SHORT_RUN].tolist(), strict=True):
-            tile, second = fp[at : at + n], side[at : at + n] == 1
-            found.append(compare_tiles(tile[~second], tile[second] if second.any() else None, radius) if not second.all() else (tile[:0], tile[:0]))
-        u, v = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.uint64),) * 2
-        if len(u):
-            return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
-        return None
+            close = pop[first[i + apart]] - pop[last[i]] <= radius
+            skipped += len(i) - int(close.sum())
+            i = i[close]
+        compared += len(i)
+        for at in range(0, len(i), PAIRS_AT_ONCE):
+            x = i[at : at + PAIRS_AT_ONCE]
+            y = x + apart
+            fp, run, side = ((s[x][:, :, None], s[y][:, None, :]) for s in shaped)
+            near = np.bitwise_count(fp[0] ^ fp[1]) <= radius
+            near &= (run[0] == run[1]) & ((side[0] == 0) | (side[0] != side[1])) & real[x][:, :, None] & real[y][:, None, :]
+            if not apart:
+                near &= np.tri(tile, k=-1, dtype=bool).T
+            t, r, c = np.nonzero(near)
+            a, b = x[t] * tile + r, y[t] * tile + c
+            if len(a) > tile * len(x):
+                lo = int(x[0]) * tile
+                a, b = (z + lo for z in forest(int(y[-1] + 1) * tile - lo, a - lo, b - lo))
+            out_a.append(a)
+            out_b.append(b)
+        apart += 1
+    return Links(np.concatenate(out_a), np.concatenate(out_b), compared, skipped)
+
+
+def _compare_runs(batches: Iterator[pa.RecordBatch], radius: int, tile: int) -> Iterator[pa.RecordBatch]:
+    """Rows ``(run, side, fp)`` sorted by run and population count -> edges ``(u, v)``."""
+    held = Runs(np.zeros(0, np.int64), np.zeros(0, np.int8), np.zeros(0, np.uint64))
+
+    def edges(runs: Runs) -> Iterator[pa.RecordBatch]:
+        links = compare_tiles(runs, radius, tile)
+        if len(links.a):
+            member, root = forest(len(runs.fp), links.a, links.b)
+            yield pa.RecordBatch.from_arrays([pa.array(runs.fp[x].view(np.int64)) for x in (member, root)], ["u", "v"])
 
     for batch in batches:
-        new = [batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.int8), batch.column(2).to_numpy().view(np.uint64)]
-        run, side, fp = (np.concatenate(x) for x in zip(held, new, strict=True))
-        whole = int(np.searchsorted(run, run[-1])) if len(run) else 0  # the last run may go on
-        if (out := edges(run[:whole], side[:whole], fp[:whole])) is not None:
-            yield out
-        held = [run[whole:], side[whole:], fp[whole:]]
-    if (out := edges(*held)) is not None:
-        yield out
+        new = Runs(batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.int8), batch.column(2).to_numpy().view(np.uint64))
+        every = Runs(*(np.concatenate(x) for x in zip(held, new, strict=True)))
+        whole = int(np.searchsorted(every.run, every.run[-1])) if len(every.run) else 0  # the last run may go on
+        yield from edges(every.cut(0, whole))
+        held = every.cut(whole)
+    yield from edges(held)
 
 
-def near_links(fps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+def near_links(fps: DataFrame, radius: int = RADIUS, tile: int = TILE, crowd: int = CROWD) -> DataFrame:
     """Distinct fingerprints ``fp`` -> edges ``(u, v)`` that span every component at ``radius``."""
     blocks = radius + 1
     bounds = [64 * i // blocks for i in range(blocks + 1)]
@@ -162,23 +186,23 @@ def near_links(fps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFr
     cells = member.groupBy("block", "bits", "pop").agg(F.count("*").alias("n"))
     # Sizes decide how a bucket is cut; the groups are as many as the buckets, whatever their sizes.
     sizes = cells.groupBy("block", "bits").agg(F.sum("n").alias("total")).where("total > 1")
-    big = cells.join(sizes.where(F.col("total") > tile).select("block", "bits"), ["block", "bits"])
-    tiles = big.select("block", "bits", "pop", F.ceil(F.col("n") / tile).cast("int").alias("subs")).withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)))
-    a = tiles.select("block", "bits", F.col("pop").alias("pop_a"), F.col("sub").alias("sub_a"))
-    b = tiles.select("block", "bits", F.col("pop").alias("pop_b"), F.col("sub").alias("sub_b"))
+    big = cells.join(sizes.where(F.col("total") > crowd).select("block", "bits"), ["block", "bits"])
+    crowds = big.select("block", "bits", "pop", F.ceil(F.col("n") / crowd).cast("int").alias("subs")).withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)))
+    a = crowds.select("block", "bits", F.col("pop").alias("pop_a"), F.col("sub").alias("sub_a"))
+    b = crowds.select("block", "bits", F.col("pop").alias("pop_b"), F.col("sub").alias("sub_b"))
     pairs = a.join(b, ["block", "bits"]).where((F.col("pop_b") - F.col("pop_a")).between(0, radius) & ((F.col("pop_b") > F.col("pop_a")) | (F.col("sub_b") >= F.col("sub_a"))))
-    pairs = pairs.withColumn("run", F.xxhash64("block", "bits", "pop_a", "sub_a", "pop_b", "sub_b"))
-    left = pairs.select("block", "bits", F.col("pop_a").alias("pop"), F.col("sub_a").alias("sub"), "run", F.lit(0).alias("side"))
-    right = pairs.where("pop_a <> pop_b or sub_a <> sub_b").select("block", "bits", F.col("pop_b").alias("pop"), F.col("sub_b").alias("sub"), "run", F.lit(1).alias("side"))
-    cut = tiles.select("block", "bits", "pop", "subs").distinct()
-    in_tiles = member.join(cut, ["block", "bits", "pop"]).withColumn("sub", F.pmod(F.xxhash64("fp"), F.col("subs")).cast("int"))
-    large = in_tiles.join(left.union(right), ["block", "bits", "pop", "sub"]).select("run", "side", "fp")
-    small = member.join(sizes.where(F.col("total") <= tile).select("block", "bits"), ["block", "bits"]).select(F.xxhash64("block", "bits").alias("run"), F.lit(0).alias("side"), "fp")
-    runs = small.union(large).repartition("run").sortWithinPartitions("run")
-    return runs.mapInArrow(lambda batches: _compare_runs(batches, radius), "u long, v long")
-
-
-def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+    pairs = pairs.withColumn("run", F.xxhash64("block", "bits", "pop_a", "sub_a", "pop_b", "sub_b")).withColumn("self", F.expr("pop_a = pop_b and sub_a = sub_b"))
+    left = pairs.select("block", "bits", F.col("pop_a").alias("pop"), F.col("sub_a").alias("sub"), "run", F.when(F.col("self"), 0).otherwise(1).alias("side"))
+    right = pairs.where("not self").select("block", "bits", F.col("pop_b").alias("pop"), F.col("sub_b").alias("sub"), "run", F.lit(2).alias("side"))
+    cut = crowds.select("block", "bits", "pop", "subs").distinct()
+    in_crowds = member.join(cut, ["block", "bits", "pop"]).withColumn("sub", F.pmod(F.xxhash64("fp"), F.col("subs")).cast("int"))
+    large = in_crowds.join(left.union(right), ["block", "bits", "pop", "sub"]).select("run", "side", "fp", "pop")
+    small = member.join(sizes.where(F.col("total") <= crowd).select("block", "bits"), ["block", "bits"]).select(F.xxhash64("block", "bits").alias("run"), F.lit(0).alias("side"), "fp", "pop")
+    runs = small.union(large).repartition("run").sortWithinPartitions("run", "pop", "side", "fp").select("run", "side", "fp")
+    return runs.mapInArrow(lambda batches: _compare_runs(batches, radius, tile), "u long, v long")
+
+
+def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS, tile: int = TILE, crowd: int = CROWD) -> DataFrame:
     """``key, fp, component_id`` of every row.
 
     ``component_id`` is the least key that is reachable by links of up to ``radius`` differing bits.
@@ -188,7 +212,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", radi
     """
     rows = materialize(simhash(df, key, text), "simhash")
     nodes = rows.groupBy("fp").agg(F.min(key).alias("low"))
-    links = components(near_links(nodes.select("fp"), radius, tile))
+    links = components(near_links(nodes.select("fp"), radius, tile, crowd))
     rooted = nodes.join(links.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
     labels = rooted.join(lowest, "root").select("fp", "component_id")
