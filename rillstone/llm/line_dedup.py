@@ -2,8 +2,8 @@
 
 1. Lines are hashed (96 bits). A grouped minimum and maximum of the site's hash, combined before the
    shuffle, drops every line that one site alone has, which is nearly all of them.
-2. The occurrences of the rest are written out once; HyperLogLog sketches of the sites merge by
-   aggregation into one for each line.
+2. The occurrences of the rest are written out once, and combined to one row for each line and site.
+   HyperLogLog sketches of the sites merge by aggregation into one for each line.
 3. Lines whose estimate is near the threshold get an exact distinct count.
 4. A line that at least ``min_sites`` sites have is boilerplate: it goes from every document but the
    one with the least doc_id, so that no content is lost altogether.
@@ -29,6 +29,9 @@ NEAR = 0.1
 
 LINE = ["h", "g"]
 
+#: Parts that a document's removed lines are dealt to.
+SLOTS = 64
+
 
 def line_key(line: Column) -> list[Column]:
     """A line's identity: 96 bits of hash of the line without blanks at its ends."""
@@ -36,12 +39,17 @@ def line_key(line: Column) -> list[Column]:
 
 
 def boilerplate(occurrences: DataFrame, min_sites: int = MIN_SITES, near: float = NEAR) -> DataFrame:
-    """Rows ``h, g, site, doc_id`` -> the lines ``h, g, home`` that at least ``min_sites`` sites have."""
-    estimates = occurrences.groupBy(*LINE).agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LG_K))).alias("estimate"), F.min("doc_id").alias("home"))
+    """Rows ``h, g, site, doc_id`` -> the lines ``h, g, home`` that at least ``min_sites`` sites have.
+
+    Rows are combined to one for each line and site first, so a line that all documents have is no more
+    than its sites to what follows.
+    """
+    sites = materialize(occurrences.groupBy(*LINE, "site").agg(F.min("doc_id").alias("doc_id")), "sites")
+    estimates = sites.groupBy(*LINE).agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LG_K))).alias("estimate"), F.min("doc_id").alias("home"))
     margin = max(1.0, near * min_sites)
     sure = estimates.where(F.col("estimate") > min_sites + margin).select(*LINE, "home")
     close = estimates.where(F.col("estimate").between(min_sites - margin, min_sites + margin)).select(*LINE, "home")
-    counted = occurrences.join(close.select(*LINE), LINE).groupBy(*LINE).agg(F.count_distinct("site").alias("sites")).where(F.col("sites") >= min_sites)
+    counted = sites.join(close.select(*LINE), LINE).groupBy(*LINE).agg(F.count("site").alias("sites")).where(F.col("sites") >= min_sites)
     return sure.union(close.join(counted.select(*LINE), LINE))
 
 
@@ -60,9 +68,12 @@ def remove_boilerplate(df: DataFrame, min_sites: int = MIN_SITES, key: str = "do
     occurrences = materialize(lines.join(spread, LINE), "lines")
     found = materialize(boilerplate(occurrences, min_sites), "boilerplate")
     hits = occurrences.join(found, LINE).where(~F.col("doc_id").eqNullSafe(F.col("home")))
-    gone = hits.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set(F.struct("h", "g")).alias("__gone"))
+    gone = hits.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set(F.struct("h", "g")).alias("__all"))
+    # Dealt to slots by hash, so that a line is looked up among few whatever the document has lost.
+    slot = lambda x: F.pmod(x, F.lit(SLOTS)).cast("int")
+    gone = gone.select("__id", F.transform(F.sequence(F.lit(0), F.lit(SLOTS - 1)), lambda i: F.filter("__all", lambda x: slot(x["h"]) == i)).alias("__gone"))
     joined = df.join(gone, df[key].eqNullSafe(gone["__id"]), "left").drop("__id")
-    kept = F.filter(F.split(text, "\n"), lambda x: ~F.array_contains("__gone", F.struct(*line_key(F.trim(x)))))
+    kept = F.filter(F.split(text, "\n"), lambda x: ~F.array_contains(F.get("__gone", slot(F.xxhash64(F.trim(x)))), F.struct(*line_key(F.trim(x)))))
     n_lines = F.coalesce(F.size(F.split(text, "\n")).cast("long"), F.lit(0).cast("long"))
     counted = joined.withColumn("__kept", F.when(F.col("__gone").isNotNull() & F.col(text).isNotNull(), kept)).withColumn("n_lines", F.when(F.col(text).isNull(), F.lit(0).cast("long")).otherwise(n_lines))
     counted = counted.withColumn("n_removed", F.when(F.col("__kept").isNull(), F.lit(0).cast("long")).otherwise(F.col("n_lines") - F.size("__kept")))
