@@ -20,10 +20,13 @@ MAX_REPEAT_PERCENT = 30
 #: A document is rejected if its failing lines hold more than this share of its lines' characters.
 MAX_LOST = 0.5
 
-#: Fixed phrases of pages' frames, lower case.
+#: Fixed phrases of pages' frames, in English, German, French and Spanish.
 BOILERPLATE = (
     r"(?i)\b(?:all rights reserved|accept (?:all )?cookies|cookie policy|privacy policy|terms of (?:use|service)|"
-    r"sign up for our|subscribe to our|log in to|enable javascript|licensed under|lorem ipsum|powered by|share this)\b|©"
+    r"sign up for our|subscribe to our|log in to|enable javascript|licensed under|lorem ipsum|powered by|share this|"
+    r"alle rechte vorbehalten|cookies (?:akzeptieren|ablehnen)|datenschutzerkl|nutzungsbedingungen|newsletter abonnieren|"
+    r"tous droits r.serv.s|accepter (?:les|tous les) cookies|politique de confidentialit|conditions d.utilisation|"
+    r"todos los derechos reservados|aceptar (?:las|todas las) cookies|pol.tica de (?:privacidad|cookies)|condiciones de uso)|©"
 )
 SYMBOLS = r"[#*$%&|<>~^{}\\]"
 SEPARATORS = r"[|»›•·]"
@@ -68,7 +71,7 @@ def repeated_words(items: Column, width: int = WINDOW) -> Column:
         return let(let(pairs, places), total)
 
     def body(h: Column) -> Column:
-        found = F.transform(F.sequence(F.lit(1), F.size(h) - width + 1), lambda i: F.xxhash64(F.slice(h, i, width)))
+        found = F.transform(F.sequence(F.lit(0), F.size(h) - width), lambda i: F.xxhash64(*[F.get(h, i + n) for n in range(width)]))
         return F.when(F.size(h) > width, let(found, lambda f: F.when(F.size(F.array_distinct(f)) < F.size(f), covered(f)).otherwise(0))).otherwise(0)
 
     return let(F.transform(items, lambda w: F.xxhash64(w)), body)
