@@ -55,3 +55,49 @@ def test_near_dedup_keeps_one_of_each_group(spark, nothing, documents):
     assert {r.doc_id for r in pipeline.near_dedup(spark, df, "").collect()} == kept_model(rows)
     rows = sorted((r.doc_id, r.text) for r in documents.select("doc_id", "text").collect())
     assert {r.doc_id for r in simhash.survivors(documents, find=near_texts.near_texts).collect()} == kept_model(rows)
+
+
+def crowd(rng, n, shared):
+    """Copies of one text with a few edits each, of which ``shared`` say how often an edit is another copy's."""
+    base = [f"w{rng.randrange(900)}" for _ in range(rng.randrange(60, 160))]
+    edits, out = [], []
+    for _ in range(n):
+        words = list(base)
+        for _ in range(rng.randrange(0, 5)):
+            if not edits or rng.random() > shared:
+                edits.append((rng.randrange(len(base)), rng.choice("rid"), f"e{rng.random()}", rng.randrange(1, 25)))
+            at, kind, new, size = rng.choice(edits) if rng.random() < shared else edits[-1]
+            words[at : at + {"r": 1, "i": 0, "d": size}[kind]] = [] if kind == "d" else [new]
+        out.append(" ".join(words))
+    return out
+
+
+def test_crowds_of_copies(spark):
+    """Groups of over ``CROWD`` near copies, many of them around similarity 0.8, against all pairs."""
+    for seed, shared in enumerate((0, 0.3, 0.8)):
+        rng = random.Random(seed)
+        rows = list(enumerate(t for _ in range(3) for t in crowd(rng, 90, shared)))
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        found = near_texts.near_texts(df).collect()
+        assert {r.component_id for r in found} == kept_model(rows), shared
+
+
+def test_crowds_make_few_pairs(spark, monkeypatch):
+    """Copies whose edits are their own and that are not alike each other make no pairs to compare."""
+    rng = random.Random(1)
+    base = [f"w{i}" for i in range(150)]
+    texts = []
+    for k in range(300):
+        words = list(base)
+        for at in rng.sample(range(len(base)), 1 + k % 4):
+            words[at] = f"e{rng.random()}"
+        texts.append(" ".join(words))
+    made = {}
+
+    def noted(df, label, write=near_texts.materialize):
+        made[label] = write(df, label)
+        return made[label]
+
+    monkeypatch.setattr(near_texts, "materialize", noted)
+    near_texts.near_texts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert made["pairs"].count() < 0.1 * 300 * 299 / 2
