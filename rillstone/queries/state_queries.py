@@ -138,9 +138,10 @@ def d_layout_stats(spark: SparkSession, d: str) -> DataFrame:
   SELECT id, CASE WHEN a.type IS NULL THEN 'added' WHEN b.type IS NULL THEN 'removed' WHEN a.type <> b.type THEN 'retyped' ELSE 'rewidth' END AS change, a.type IS NULL AS compatible
   FROM a FULL JOIN b USING (id) WHERE a.type IS DISTINCT FROM b.type OR a.width IS DISTINCT FROM b.width""")
 def d_schema_diff(spark: SparkSession, d: str) -> DataFrame:
-    """The first twelve nations' fields against the others', each id as it comes first."""
+    """The first twelve nations' fields against the others', each id as it comes first: by its place, then by its customer."""
     f = schema_fields(spark, d)
-    old, new = (f.where(c).groupBy("id").agg(F.min_by("type", "pos").alias("type"), F.min_by("width", "pos").alias("width")) for c in ("schema_id < 12", "schema_id >= 12"))
+    place = F.struct("pos", F.substring("name", 2, 20).cast("long"))
+    old, new = (f.where(c).groupBy("id").agg(F.min_by(F.struct("type", "width"), place).alias("x")).select("id", "x.*") for c in ("schema_id < 12", "schema_id >= 12"))
     return decode.diff(old, new).select("id", "change", "compatible")
 
 

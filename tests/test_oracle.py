@@ -25,3 +25,10 @@ def test_entry_points(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_schema_diff_takes_ties_in_order_of_customers(spark, tmp_path):
+    """Customers 1 and 121 have id 2 at the first place of two nations, as u16 and u32; 841 of nation 20 as u16."""
+    for n, rows in enumerate(([(1, 3), (121, 2), (841, 20)], [(1, 2), (121, 3), (841, 20)])):
+        spark.createDataFrame(rows, "c_custkey long, c_nationkey long").coalesce(1).write.parquet(str(tmp_path / f"{n}/customer.parquet"))
+        assert library.QUERIES["d_schema_diff"](spark, str(tmp_path / str(n))).collect() == []
