@@ -309,7 +309,7 @@ def a_top_k_sketch(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT q, (SELECT quantile_disc(packets, q) FROM ({FLOW_EVENTS})) AS value FROM (SELECT unnest([CAST(0.5 AS DOUBLE), 0.9, 0.99]) AS q)".replace("(SELECT quantile_disc(packets, q)", "(SELECT CASE q WHEN 0.5 THEN quantile_disc(packets, 0.5) WHEN 0.9 THEN quantile_disc(packets, 0.9) ELSE quantile_disc(packets, 0.99) END"))
 def a_quantiles(spark: SparkSession, d: str) -> DataFrame:
-    """Fifty values, which the summary tells apart."""
+    """Fifty values, in the middle of which a summary would err by a value."""
     return analytics.quantiles(flow_events(spark, d), "packets", [0.5, 0.9, 0.99])
 
 

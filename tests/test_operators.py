@@ -208,3 +208,9 @@ def test_streaming(spark, tmp_path):
     q = windows.tee(stream, lambda b, n: got.append(b.count()), lambda b, n: got.append(b.agg(F.sum("octets")).first()[0])).trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert got == [40, sum(10 * i for i in range(40))]
+
+
+def test_quantiles_are_exact(spark):
+    found = analytics.quantiles(spark.range(1, 300_002).repartition(7), "id", [0.5, 0.9, 0.99, 1.0])
+    assert {r.q: r.value for r in found.collect()} == {0.5: 150_001, 0.9: 270_001, 0.99: 297_001, 1.0: 300_001}
+    assert [tuple(r) for r in analytics.quantiles(spark.createDataFrame([(None,)], "v long"), "v", [0.5]).collect()] == [(0.5, None)]
