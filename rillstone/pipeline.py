@@ -13,8 +13,12 @@ from .sources.datasources import decode_snapshots, read_captures
 
 def flows_of(spark: SparkSession, path: str, transport: str = "record") -> DataFrame:
     """Flows of the captures on a path. Every stream of a capture is a session of its own, to which no schema or
-    template carries over; with ``transport="file"`` a file's streams are one session."""
-    return session_flows(read_captures(spark, path, transport=transport)).withColumn("template_id", F.lit(0))
+    template carries over; with ``transport="file"`` a file's streams are one session. Files number their streams
+    alike, so the hash of the stream's full name is the session's number."""
+    found = read_captures(spark, path, transport=transport)
+    if transport == "record":
+        found = found.withColumn("transport_id", F.xxhash64("stream_id"))
+    return session_flows(found).withColumn("template_id", F.lit(0))
 
 
 def run(spark: SparkSession, path: str, condition: str | None = None, transport: str = "record") -> DataFrame:

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from rillstone import scratch, transform
+from rillstone import pipeline, scratch, transform
 from rillstone.operators import analytics, ranges, replay, sessions
 from rillstone.operators.cursor import RecordCursor
 from rillstone.plans import filter_lang as lang
@@ -122,3 +122,12 @@ def test_scratch_tables(spark):
     scratch.release(df)
     path = spark._jvm.org.apache.hadoop.fs.Path(df.inputFiles()[0].rpartition("/")[0])
     assert not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
+def test_streams_of_several_files_are_sessions_of_their_own(spark, tmp_path):
+    """The first stream of a file without a template is not resolved by the first stream of another."""
+    record = framing.data_record(256, 1, 9, 8, 7, 6, 17, 100, 1, b"\0\0\0\1")
+    whole = framing.stream([framing.session_open(1), framing.template_def(256, 1, [(8, "u32", 4)]), record])
+    (tmp_path / "a.cap").write_bytes(framing.capture([(1, whole)]))
+    (tmp_path / "b.cap").write_bytes(framing.capture([(2, framing.stream([record]))]))
+    assert [(r.octets, r.records) for r in pipeline.flows_of(spark, str(tmp_path)).collect()] == [(100, 1)]
