@@ -13,6 +13,7 @@ from ..sources.messages import admit, data_records, template_definitions, unnest
 from ..types import FLOW_KEY
 from .flows import accumulate, idle_sessions
 from .joins import as_of
+from .ranges import least_after
 
 TEMPLATE_CAPACITY, IDLE_TICKS = 256, 30_000
 
@@ -59,13 +60,15 @@ def templates_fit(messages: DataFrame, capacity: int = TEMPLATE_CAPACITY) -> Dat
 def served_requests(events: DataFrame, key: str, ord: str, kind: str = "kind", conn: str = "conn") -> DataFrame:
     """Requests with ``outcome``: served, dropped (reset before the queue ran), waiting or unresolved.
 
-    A request is served if the session's next ``process`` comes before its connection's next ``reset``.
+    A request is served if the session's next ``process`` comes before its connection's next ``reset``. Sessions
+    may be few and long, so their queues go by ranges.
     """
-    after = Window.partitionBy(key).orderBy(ord).rowsBetween(1, Window.unboundedFollowing)
-    conn_after = Window.partitionBy(key, conn).orderBy(ord).rowsBetween(1, Window.unboundedFollowing)
-    conn_before = Window.partitionBy(key, conn).orderBy(ord).rowsBetween(Window.unboundedPreceding, -1)
     at = lambda k: F.when(F.col(kind) == k, F.col(ord))
-    marked = events.withColumns({"__run": F.min(at("process")).over(after), "__reset": F.min(at("reset")).over(conn_after), "__open": F.max(F.when(F.col(kind) == "open", 1)).over(conn_before)})
+    # Backwards, as a frame that ends at the last row would be read anew for every row.
+    conn_after = Window.partitionBy(key, conn).orderBy(F.desc(ord)).rowsBetween(Window.unboundedPreceding, -1)
+    conn_before = Window.partitionBy(key, conn).orderBy(ord).rowsBetween(Window.unboundedPreceding, -1)
+    queued = least_after(events, [key], ord, at("process"), "__run")
+    marked = queued.withColumn("__reset", F.min(at("reset")).over(conn_after)).withColumn("__open", F.max(F.when(F.col(kind) == "open", 1)).over(conn_before))
     outcome = F.when(F.col("__open").isNull(), "unresolved").when(F.col("__run").isNull(), "waiting").when(F.col("__reset") < F.col("__run"), "dropped").otherwise("served")
     return marked.where(F.col(kind) == "request").withColumn("outcome", outcome).drop("__run", "__reset", "__open")
 

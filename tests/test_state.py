@@ -131,3 +131,30 @@ def test_streams_of_several_files_are_sessions_of_their_own(spark, tmp_path):
     (tmp_path / "a.cap").write_bytes(framing.capture([(1, whole)]))
     (tmp_path / "b.cap").write_bytes(framing.capture([(2, framing.stream([record]))]))
     assert [(r.octets, r.records) for r in pipeline.flows_of(spark, str(tmp_path)).collect()] == [(100, 1)]
+
+
+def test_capture_files_are_of_bounded_size(spark, tmp_path):
+    datasources.register(spark)
+    rows = spark.createDataFrame([(n, bytearray(framing.stream([framing.session_open(n)]))) for n in range(20)], "ts long, data binary").coalesce(1)
+    rows.write.format("flow_capture").option("maxFileBytes", "100").mode("append").save(str(tmp_path / "out"))
+    files = datasources._files(str(tmp_path / "out"))
+    assert len(files) == 4 and len(list((tmp_path / "out").iterdir())) == 4
+    for found in (spark.read.format("flow_capture").load(str(tmp_path / "out")), datasources.read_captures(spark, str(tmp_path / "out"))):
+        assert sorted(r.capture_ts_ms for r in found.where("error is null").collect()) == list(range(20))
+
+
+def test_least_after_against_a_loop(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice([1, 1, 1, 2, None]), o, rng.choice([None, o])) for o in range(400)]
+    found = ranges.least_after(spark.createDataFrame(rows, "k long, o long, v long").repartition(3), ["k"], "o", F.col("v"), "next").collect()
+    assert len(found) == 400
+    for r in found:
+        assert r.next == min((v for k, o, v in rows if k == r.k and o > r.o and v is not None), default=None)
+
+
+def test_requests_read_no_frame_to_the_end(spark):
+    """Spark reads a frame that ends at the last row anew for every row, which is the square of a session."""
+    events = spark.createDataFrame([("s", "c", 1, "open"), ("s", "c", 2, "request"), ("s", "c", 3, "process"), ("s", "c", 4, "request")], "s string, conn string, ord long, kind string")
+    found = sessions.served_requests(events, "s", "ord")
+    assert "unboundedfollowing" not in found._jdf.queryExecution().toString().lower()
+    assert sorted((r.ord, r.outcome) for r in found.collect()) == [(2, "served"), (4, "waiting")]
