@@ -26,6 +26,9 @@ from ..types import CAPTURE_MAGIC, FLOWS, MESSAGES
 from . import framing
 from .messages import message_rows, parse_streams
 
+#: Bytes of streams after which the sink starts another capture file, and that a reader sends on at once.
+MAX_FILE_BYTES, BATCH_BYTES = 16 << 20, 4 << 20
+
 
 def _at(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else os.path.abspath(path))
@@ -99,33 +102,36 @@ class CaptureReader(DataSourceReader):
 @dataclass
 class Staged(WriterCommitMessage):
     name: str
+    more: tuple[str, ...] = ()
 
 
-class CaptureWriter(DataSourceWriter):
-    """Rows (ts, stream) -> one capture file a partition."""
+class FileWriter(DataSourceWriter):
+    """A file a partition, unless :meth:`files` cuts it into several."""
 
-    suffix = "cap"
+    suffix = ""
 
     def __init__(self, options: dict, overwrite: bool = False):
         self.path, self.overwrite = options["path"], overwrite
+        self.options = options
         self.staging = f"_staging-{uuid.uuid4().hex}"
 
     def write(self, iterator: Iterator) -> WriterCommitMessage:
         system, at = _at(self.path)
         system.create_dir(f"{at}/{self.staging}")
-        name = f"part-{uuid.uuid4().hex}.{self.suffix}"
-        with system.open_output_stream(f"{at}/{self.staging}/{name}") as f:
-            f.write(self.pack(iterator))
-        return Staged(name)
+        names = []
+        for content in self.files(iterator):
+            names.append(f"part-{uuid.uuid4().hex}.{self.suffix}")
+            with system.open_output_stream(f"{at}/{self.staging}/{names[-1]}") as f:
+                f.write(content)
+        return Staged(names[0], tuple(names[1:]))
 
     def commit(self, messages: list) -> None:
         """What tasks that were run again, or twice, have left in the staging folder goes with it."""
         system, at = _at(self.path)
         old = _files(self.path) if self.overwrite and system.get_file_info(at).type == fs.FileType.Directory else []
         system.create_dir(at)
-        for m in messages:
-            if m is not None:
-                system.move(f"{at}/{self.staging}/{m.name}", f"{at}/{m.name}")
+        for name in (name for m in messages if m is not None for name in (m.name, *m.more)):
+            system.move(f"{at}/{self.staging}/{name}", f"{at}/{name}")
         for path in old:
             system.delete_file(path)
         self.abort(messages)
@@ -135,11 +141,28 @@ class CaptureWriter(DataSourceWriter):
         if system.get_file_info(f"{at}/{self.staging}").type == fs.FileType.Directory:
             system.delete_dir(f"{at}/{self.staging}")
 
-    def pack(self, rows: Iterator) -> bytes:
-        return framing.capture((r[0], bytes(r[1])) for r in rows)
+    def files(self, rows: Iterator) -> Iterator[bytes]:
+        yield self.pack(rows)
+
 
+class CaptureWriter(FileWriter):
+    """Rows (ts, stream) -> capture files, a new one whenever one has ``maxFileBytes``: a reader holds a whole file."""
 
-class SnapshotWriter(CaptureWriter):
+    suffix = "cap"
+
+    def files(self, rows: Iterator) -> Iterator[bytes]:
+        most, held, size, any_file = int(self.options.get("maxFileBytes", MAX_FILE_BYTES)), [], 0, False
+        for r in rows:
+            held.append((r[0], bytes(r[1])))
+            size += len(held[-1][1])
+            if size >= most:
+                yield framing.capture(held)
+                held, size, any_file = [], 0, True
+        if held or not any_file:
+            yield framing.capture(held)
+
+
+class SnapshotWriter(FileWriter):
     suffix = "snap"
 
     def pack(self, rows: Iterator) -> bytes:
@@ -189,7 +212,7 @@ class CatalogReader(SnapshotReader):
         yield from framing.parse_catalog(_content(self.options["path"], partition.path))
 
 
-class CatalogWriter(CaptureWriter):
+class CatalogWriter(FileWriter):
     """Rows (schema_id, version, fields) -> one catalog a partition."""
 
     suffix = "cat"
@@ -241,14 +264,27 @@ def messages_of(files: DataFrame, framing_name: str = "auto", strict: bool = Fal
     def streams(batches):
         import pyarrow as pa
 
+        def whole(held) -> pa.RecordBatch:
+            columns = zip(*held, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["stream_id", "transport_id", "capture_ts_ms", "data"])
+
         for batch in batches:
-            for name, number, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for name, number, data in (tuple(c[i].as_py() for c in batch.columns) for i in range(batch.num_rows)):
                 try:
-                    found = [(f"{name}#{i}", i if transport == "record" else number, ts, raw) for i, (ts, raw) in enumerate(streams_of(data, framing_name), 1)]
+                    for _ in streams_of(data, framing_name):  # all or nothing, without keeping it
+                        pass
                 except framing.FramingError:
-                    found = [(name, None, None, None)]  # becomes an error row
-                columns = list(zip(*found, strict=True)) or [(), (), (), ()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["stream_id", "transport_id", "capture_ts_ms", "data"])
+                    yield whole([(name, None, None, None)])  # becomes an error row
+                    continue
+                held, size = [], 0
+                for i, (ts, raw) in enumerate(streams_of(data, framing_name), 1):
+                    held.append((f"{name}#{i}", i if transport == "record" else number, ts, raw))
+                    size += len(raw)
+                    if size >= BATCH_BYTES:
+                        yield whole(held)
+                        held, size = [], 0
+                if held:
+                    yield whole(held)
 
     rows = files.select("path", F.xxhash64("path").alias("number"), "content")
     return parse_streams(rows.mapInArrow(streams, "stream_id string, transport_id long, capture_ts_ms long, data binary"), strict)

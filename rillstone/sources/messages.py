@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -44,9 +45,9 @@ def parse_streams(df: DataFrame, strict: bool = False) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [r for args in zip(*(c.to_pylist() for c in batch.columns), strict=True) for r in message_rows(*args, strict=strict)]
-            for i in range(0, len(rows), 4096):
-                columns = list(zip(*rows[i : i + 4096], strict=True))
+            rows = (r for i in range(batch.num_rows) for r in message_rows(*(c[i].as_py() for c in batch.columns), strict=strict))
+            while some := list(islice(rows, 4096)):
+                columns = zip(*some, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, ARROW.types, strict=True)], ARROW.names)
 
     return df.select(F.col("stream_id").cast("string"), F.col("transport_id").cast("long"), F.col("capture_ts_ms").cast("long"), "data").mapInArrow(run, MESSAGES)
