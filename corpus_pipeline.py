@@ -7,6 +7,8 @@ out, whatever their names, and gives an empty table for an empty one.
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,10 +45,12 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of texts of similarity 0.8 and more stays: the one with the least doc_id.
 
+    Pairs come from op8's SimHash fingerprints, compared by tiles, and from MinHash bands, which find those that
+    differ in more than three bits; the exact similarity decides.
     Null and empty texts are one group; of rows that share a doc_id one stays; rows without a doc_id
     stay unless every group has a document with one.
     """
-    return survivors(docs.select(*DOCUMENT_COLUMNS), find=near_texts)
+    return survivors(docs.select(*DOCUMENT_COLUMNS), find=partial(near_texts, fingerprints=True))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -28,12 +28,13 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import chunks, materialize, release, text_or_empty
 from .components import components
+from .simhash import fingerprints_of, near_links
 
 WIDTH, BANDS, ROWS, SEED = 5, 48, 5, 42
 
@@ -100,16 +101,18 @@ def _hash_of(items: np.ndarray) -> int:
 
 
 def shingled(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
-    """``key``, a row number, the text's hash, the shingle set's hash and size, and its bands; map-only."""
-    schema = df.select(key).schema.add("rid", "long").add("th", "long").add("node", "long").add("n", "integer").add("bands", T.ArrayType(T.LongType()))
+    """``key``, a row number, the text's hash, the shingle set's hash and size, its bands, and the SimHash of the
+    text; map-only."""
+    schema = df.select(key).schema.add("rid", "long").add("th", "long").add("node", "long").add("n", "integer").add("bands", T.ArrayType(T.LongType())).add("fp", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "__text", CHUNK_CHARS):
-            sets = shingles_of(batch.column(3).cast(pa.binary()).to_pylist(), width)
+            texts = batch.column(3).cast(pa.binary()).to_pylist()
+            sets, fp = shingles_of(texts, width), fingerprints_of(texts)
             node = np.array([_hash_of(s) for s in sets], np.uint64).view(np.int64)
             n = np.array([len(s) for s in sets], np.int32)
             bands = _lists(np.ascontiguousarray(bands_of(sets)).ravel(), np.arange(len(sets) + 1) * BANDS)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(node), pa.array(n), bands], schema.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(node), pa.array(n), bands, pa.array(fp.view(np.int64))], schema.names)
 
     full = text_or_empty(text)
     return df.select(key, F.monotonically_increasing_id().alias("rid"), F.xxhash64(full).alias("th"), full.alias("__text")).mapInArrow(run, schema)
@@ -213,34 +216,55 @@ def _small_pairs(met: DataFrame, roots: DataFrame) -> DataFrame:
     return a.join(b, "c").where((F.col("nodea") < F.col("nodeb")) & (F.col("roota") != F.col("rootb")) & _near_size("na", "nb")).select(*_ends("nodea", "nodeb"))
 
 
-def near_texts(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
+def _by_fingerprints(rows: DataFrame) -> DataFrame:
+    """Pairs ``(u, v)`` of the nodes that op8's way links, SimHash fingerprints compared by tiles.
+
+    Nodes of one fingerprint meet the least of them, and the least ones those of near fingerprints.
+    """
+    # A node may have several fingerprints, as its texts may differ in how often they repeat a shingle.
+    held = materialize(rows.select("fp", "node").distinct(), "fingerprints")
+    least = held.groupBy("fp").agg(F.min("node").alias("least"), F.count("*").alias("k"))
+    same = held.join(least.where("k > 1"), "fp").where("node > least").select(F.col("least").alias("u"), F.col("node").alias("v"))
+    near = near_links(held.select("fp").distinct()).withColumnsRenamed({"u": "a", "v": "b"})
+    left, right = (least.select(F.col("fp").alias(fp), F.col("least").alias(node)) for fp, node in (("a", "x"), ("b", "y")))
+    met = near.join(left, "a").join(right, "b").where("x <> y").select(*_ends("x", "y"))
+    return materialize(same.union(met).distinct(), "near_fingerprints")
+
+
+def near_texts(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, fingerprints: bool = False) -> DataFrame:
     """``key, component_id`` of every row.
 
     ``component_id`` is the least key that is reachable by links of similarity 0.8 and more. Null and
-    empty texts are linked to each other only; keys are taken as in ``near_duplicates``.
+    empty texts are linked to each other only; keys are taken as in ``near_duplicates``. With ``fingerprints`` the
+    pairs that op8's SimHash fingerprints link are met and checked first.
     """
     rows = materialize(shingled(df, key, text, width), "shingles")
     nodes = materialize(rows.groupBy("node").agg(F.min(key).alias("low"), F.min(F.struct("rid", "th")).alias("first")).select("node", "low", "first.*"), "nodes")
     member = rows.select("rid", "node", "n", "bands").join(nodes.select("rid"), "rid", "left_semi").where("n > 0").select("node", "n", F.explode("bands").alias("band"))
-    crowded = materialize(member.groupBy("band").agg(F.count("*").alias("k")).where("k > 1"), "crowded")
-    every = materialize(_likely(member, crowded, "band").join(crowded, "band"), "crowds")
+    # One shuffle of all bands, which grows as the input does.
+    every = materialize(member.withColumn("k", F.count("*").over(Window.partitionBy("band"))).where("k > 1"), "crowds")
     score = every.groupBy("node").agg(F.sum("k").alias("score"), F.count("*").alias("bands")).where(F.col("bands") >= SHARED_BANDS).select("node", "score")
     banded = materialize(every.join(score, "node"), "banded")
     groups = materialize(banded.groupBy("band").agg(F.max(F.struct("score", "node")).alias("c")).select("band", F.col("c.node").alias("c")), "groups")
     met = materialize(banded.select("node", "n", "band").join(groups, "band").select("node", "n", "c").distinct(), "met")
-    wanted = materialize(nodes.select("node", "th").join(met.select("node").distinct(), "node", "left_semi"), "wanted")
+    asked, by_fps = met.select("node"), None
+    if fingerprints:
+        by_fps = _by_fingerprints(rows)
+        asked = asked.union(by_fps.select("u")).union(by_fps.select("v"))
+    wanted = materialize(nodes.select("node", "th").join(asked.distinct(), "node", "left_semi"), "wanted")
     items = materialize(_items_of(df, text, width, wanted), "items")
     sizes = materialize(met.groupBy("c").agg(F.count("*").alias("k")), "sizes")
     small, large = (met.join(sizes.where(cond).select("c"), "c") for cond in (F.col("k") < CROWD, F.col("k") >= CROWD))
     compared = _compared(large, items)
     hubs = compared.groupBy("c").agg(F.min(F.struct((9 * F.col("m") + 4 * F.col("n")).alias("o"), "node", "n")).alias("h")).select("c", F.col("h.node").alias("hub"), F.col("h.n").alias("hn"))
     hubs = hubs.union(small.where("node = c").select("c", F.col("node").alias("hub"), F.col("n").alias("hn")))
-    stars = met.join(materialize(hubs, "hubs"), "c").where((F.col("node") != F.col("hub")) & _near_size("n", "hn")).select(*_ends("node", "hub")).distinct()
+    stars = met.join(materialize(hubs, "hubs"), "c").where((F.col("node") != F.col("hub")) & _near_size("n", "hn")).select(*_ends("node", "hub"))
+    stars = (stars.union(by_fps) if fingerprints else stars).distinct()
     first = materialize(_alike(stars, items), "links")
     roots = components(first)
     rest = _past_hubs(compared, roots).union(_small_pairs(small, roots)).distinct()
     found = components(first.union(materialize(_alike(rest, items), "links")))
-    for done in (crowded, every, banded, groups, met, wanted, items, sizes, compared):
+    for done in (every, banded, groups, met, wanted, items, sizes, compared):
         release(done)
 
     rooted = nodes.join(found, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root"))

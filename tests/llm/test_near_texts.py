@@ -101,3 +101,20 @@ def test_crowds_make_few_pairs(spark, monkeypatch):
     monkeypatch.setattr(near_texts, "materialize", noted)
     near_texts.near_texts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
     assert made["pairs"].count() < 0.1 * 300 * 299 / 2
+
+
+def test_near_dedup_meets_the_pairs_of_fingerprints(spark, monkeypatch):
+    """The stage's pairs have those of op8's tiles among them."""
+    pipeline = importlib.import_module("corpus_pipeline")
+    rng, seen = random.Random(8), []
+    base = [f"w{rng.randrange(900)}" for _ in range(600)]
+    texts = [" ".join(base), " ".join([*base, "more"]), " ".join(f"v{rng.randrange(900)}" for _ in range(300))]
+    df = spark.createDataFrame([(n, t, "en", "s", len(t)) for n, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+
+    def noted(rows, found=near_texts._by_fingerprints):
+        seen.append(found(rows).count())
+        return found(rows)
+
+    monkeypatch.setattr(near_texts, "_by_fingerprints", noted)
+    assert sorted(r.doc_id for r in pipeline.near_dedup(spark, df, "").collect()) == [0, 2]
+    assert seen == [1]
