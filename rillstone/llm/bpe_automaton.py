@@ -33,13 +33,17 @@ import unicodedata
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 
 END_OF_WORD = "</w>"
 NEVER = np.int32(2**31 - 1)
 
-#: Words, and stretches between blanks, kept in a worker's memory; a full store is emptied, which costs
-#: time and changes no result.
-CACHE_WORDS, CACHE_STRETCHES = 400_000, 250_000
+#: Words kept in a worker's memory; a full store is emptied, which costs time and changes no result.
+CACHE_WORDS = 1_000_000
+
+#: Stretches between blanks that are cut into words together; bounds the lists in use.
+CACHE_STRETCHES = 250_000
 
 #: Words whose paths are followed together; bounds the arrays in use.
 WORDS_AT_ONCE = 25_000
@@ -256,6 +260,19 @@ class BpeAutomaton:
         return ids, bound
 
 
+def joined(strings: pa.Array, between: str) -> str:
+    """The strings of an array of large strings as one."""
+    return pa.compute.binary_join(pa.LargeListArray.from_arrays([0, len(strings)], strings), pa.scalar(between, strings.type))[0].as_py()
+
+
+def gathered(values: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``values`` is a row of runs of these ``sizes``: the runs that ``which`` numbers, in a row, and where each ends."""
+    count = sizes[which]
+    ends = np.cumsum(count)
+    shift = (np.cumsum(sizes) - sizes)[which] - ends + count
+    return values[np.arange(count.sum()) + np.repeat(shift, count)], ends
+
+
 def _letters(kind: str) -> str:
     return "".join(re.escape(chr(c)) for c in range(0x250) if unicodedata.category(chr(c))[0] == kind)
 
@@ -289,10 +306,9 @@ class WordBpeCodec:
             self.labels[t["id"]] = t["content"]
         self.decimals = list(map(str, range(len(self.labels))))
         letter, number = _letters("L"), _letters("N")
-        # The file's pattern; the alternatives that start with a letter, the usual ones, come first.
-        self.split = re.compile(rf"[{letter}]+|[{number}]|'(?:s|t|re|ve|m|ll|d)|[^\s{letter}{number}]+").findall
+        # The file's pattern, and a space; the alternatives that start with a letter, the usual ones, come first.
+        self.split = re.compile(rf"[{letter}]+| |[{number}]|'(?:s|t|re|ve|m|ll|d)|[^\s{letter}{number}]+").findall
         self.words: dict[str, bytes] = {}
-        self.stretches: dict[str, bytes] = {}
 
     def is_plain(self, text: str) -> bool:
         return self.PLAIN.fullmatch(text) is not None and not ("<|" in text and any(s in text for s in self.special))
@@ -307,41 +323,54 @@ class WordBpeCodec:
             self._splitter = lambda text: [w for w, _ in split(normalize(text))]
         return self._splitter
 
-    def _learn(self, fresh: set[str], every: set[str]) -> None:
-        """Have the ids of all words ``every`` in store, of which ``fresh`` are missing."""
-        if len(self.words) + len(fresh) > CACHE_WORDS:
-            self.words.clear()
-            fresh = every
-        listed = list(fresh)
-        for i in range(0, len(listed), WORDS_AT_ONCE):
-            some = listed[i : i + WORDS_AT_ONCE]
-            ids, bound = self.automaton.encode_words(some)
+    def _learn(self, words: list[str]) -> list[bytes]:
+        """Follow these words through the automaton and have their ids in store."""
+        out: list[bytes] = []
+        for i in range(0, len(words), WORDS_AT_ONCE):
+            ids, bound = self.automaton.encode_words(words[i : i + WORDS_AT_ONCE])
             raw, end = ids.astype(np.uint16).tobytes(), (2 * bound).tolist()
-            self.words.update(zip(some, (raw[a:b] for a, b in zip([0, *end], end, strict=False)), strict=True))
+            out += [raw[a:b] for a, b in zip([0, *end], end, strict=False)]
+        self.words.update(zip(words, out, strict=True))
+        return out
+
+    def _known(self, words: list[str]) -> list[bytes]:
+        """The ids of each of these distinct words, from the store as far as it has them."""
+        found = list(map(self.words.get, words))
+        missing = [w for w, ids in zip(words, found, strict=True) if ids is None]
+        if len(self.words) + len(missing) > CACHE_WORDS:
+            self.words.clear()
+            return self._learn(words)
+        learned = iter(self._learn(missing))
+        return [next(learned) if ids is None else ids for ids in found]
+
+    def _cut(self, stretches: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all these stretches in a row, and how many each has."""
+        # The pattern finds the space before each stretch as a word of its own, which comes first and so has number 0.
+        coded = pa.array(self.split(" " + joined(stretches, " ")), pa.large_string()).dictionary_encode()
+        known = self._known(joined(coded.dictionary[1:], "\n").split("\n") if len(coded.dictionary) > 1 else [])
+        word, size = coded.indices.to_numpy(), np.fromiter(map(len, known), np.int64, len(known)) // 2
+        at = np.flatnonzero(word == 0)
+        ids, ends = gathered(np.frombuffer(b"".join(known), np.uint16), size, word[word > 0] - 1)
+        return ids, np.diff(np.concatenate([[0], ends])[np.append(at, len(word)) - np.arange(len(at) + 1)])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, without added special tokens."""
-        plain = [t.lower().split() if self.is_plain(t) else None for t in texts]
-        others = {i: [p if k % 2 else self.splitter(p) for k, p in enumerate(self.at_special(texts[i]))] for i, p in enumerate(plain) if p is None}
-        every = set().union(*filter(None, plain))
-        fresh = every.difference(self.stretches)
-        if len(self.stretches) + len(fresh) > CACHE_STRETCHES:
-            self.stretches.clear()
-            fresh = every
-        cut = [(s, (s,) if s.isalpha() else self.split(s)) for s in fresh]
-        needed = set().union(*(w for _, w in cut), *(p for parts in others.values() for p in parts[::2]))
-        if missing := needed.difference(self.words):
-            self._learn(missing, needed)
-        get = self.words.__getitem__
-        self.stretches.update((s, get(w[0]) if len(w) == 1 else b"".join(map(get, w))) for s, w in cut)
-        known, out = self.stretches.__getitem__, []
-        for i, stretches in enumerate(plain):
-            if stretches is None:
-                raw = b"".join(self.special[p] if k % 2 else b"".join(map(get, p)) for k, p in enumerate(others[i]))
-            else:
-                raw = b"".join(map(known, stretches))
-            out.append(np.frombuffer(raw, np.uint16))
-        return out
+        where = [i for i, t in enumerate(texts) if self.is_plain(t)]
+        # Arrow tells stretches and words apart, so that Python code sees each once.
+        stretches = pa.compute.ascii_split_whitespace(pa.array([texts[i].lower() for i in where], pa.large_string()))
+        coded = stretches.flatten().dictionary_encode()
+        parts = [self._cut(coded.dictionary[i : i + CACHE_STRETCHES]) for i in range(0, len(coded.dictionary), CACHE_STRETCHES)]
+        ids, size = (np.concatenate(x) for x in zip((np.zeros(0, np.uint16), np.zeros(0, np.int64)), *parts, strict=True))
+        ids, ends = gathered(ids, size, coded.indices.to_numpy())
+        bounds = np.concatenate([[0], ends])[stretches.offsets.to_numpy()].tolist()
+        out = {i: ids[a:b] for i, a, b in zip(where, bounds, bounds[1:], strict=False)}
+        others = {i: [p if k % 2 else self.splitter(p) for k, p in enumerate(self.at_special(t))] for i, t in enumerate(texts) if i not in out}
+        words = list(set().union(*(p for parts in others.values() for p in parts[::2])))
+        get = dict(zip(words, self._known(words), strict=True)).__getitem__
+        for i, parts in others.items():
+            raw = b"".join(self.special[p] if k % 2 else b"".join(map(get, p)) for k, p in enumerate(parts))
+            out[i] = np.frombuffer(raw, np.uint16)
+        return [out[i] for i in range(len(texts))]
 
     def decode(self, ids: np.ndarray) -> str:
         """The arcs' labels, joined by a space as the file, which names no decoder, has it."""

@@ -112,6 +112,16 @@ def test_every_script_takes_the_automaton(library, monkeypatch):
     assert not hasattr(bpe, "library") and {"привет", "中文字符", "\u0301" if "\u0301" in bpe.words else "é"} & set(bpe.words)
 
 
+def test_a_chunk_is_cut_once(monkeypatch, library):
+    """Python code takes the distinct stretches of a chunk together, not one by one."""
+    bpe = WordBpeCodec(PATH)
+    calls = []
+    monkeypatch.setattr(bpe, "split", lambda text, f=bpe.split: (calls.append(text), f(text))[1])
+    texts = [" ".join(f"word{i}, it's" for i in range(k, k + 50)) for k in range(0, 400, 10)] + ["", " \n", "Привет, it's"]
+    assert [x.tolist() for x in bpe.encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(calls) == 1 and calls[0].count("it's") == 1
+
+
 def test_cache_may_overflow(monkeypatch, library):
     monkeypatch.setattr("rillstone.llm.bpe_automaton.CACHE_WORDS", 3)
     monkeypatch.setattr("rillstone.llm.bpe_automaton.CACHE_STRETCHES", 3)
