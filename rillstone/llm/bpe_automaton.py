@@ -274,7 +274,9 @@ def gathered(values: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> tuple[
 
 
 def _letters(kind: str) -> str:
-    return "".join(re.escape(chr(c)) for c in range(0x250) if unicodedata.category(chr(c))[0] == kind)
+    """A pattern's set of the Latin characters of a kind and of their lower case, which may lie beyond them."""
+    found = [c for c in map(chr, range(0x250)) if unicodedata.category(c)[0] == kind]
+    return "".join(map(re.escape, sorted({*found, *(c.lower() for c in found if len(c.lower()) == 1)})))
 
 
 class WordBpeCodec:

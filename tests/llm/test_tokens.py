@@ -112,6 +112,15 @@ def test_every_script_takes_the_automaton(library, monkeypatch):
     assert not hasattr(bpe, "library") and {"привет", "中文字符", "\u0301" if "\u0301" in bpe.words else "é"} & set(bpe.words)
 
 
+def test_plain_characters(library):
+    """Every character that texts split here may hold, in words, beside blanks and doubled; some have their lower case beyond Latin."""
+    bpe = WordBpeCodec(PATH)
+    plain = [c for c in map(chr, range(0x2100)) if bpe.PLAIN.fullmatch(c) and not c.isspace()]
+    texts = [t for c in plain for t in (c, f"a{c}b, {c}x1{c}{c}.", f"\n{c}'s{c}{c}a'll9{c} \t{c}")]
+    for text, ids in zip(texts, bpe.encode(texts), strict=True):
+        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def test_a_chunk_is_cut_once(monkeypatch, library):
     """Python code takes the distinct stretches of a chunk together, not one by one."""
     bpe = WordBpeCodec(PATH)
