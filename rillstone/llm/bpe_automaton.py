@@ -40,7 +40,7 @@ END_OF_WORD = "</w>"
 NEVER = np.int32(2**31 - 1)
 
 #: Words kept in a worker's memory; a full store is emptied, which costs time and changes no result.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 400_000
 
 #: Stretches between blanks that are cut into words together; bounds the lists in use.
 CACHE_STRETCHES = 250_000
@@ -372,6 +372,8 @@ class WordBpeCodec:
         for i, parts in others.items():
             raw = b"".join(self.special[p] if k % 2 else b"".join(map(get, p)) for k, p in enumerate(parts))
             out[i] = np.frombuffer(raw, np.uint16)
+        del stretches, coded
+        pa.default_memory_pool().release_unused()  # else it keeps what its largest chunk took
         return [out[i] for i in range(len(texts))]
 
     def decode(self, ids: np.ndarray) -> str:
